@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ridgeline.llm import normalise, ranking, splitting
+from ridgeline.llm import encoding, normalise, ranking, spans, splitting
 from ridgeline.session import table
 
 
@@ -13,6 +14,23 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.best_hits(table(spark, sf_dir, "hits"))
 
 
+def _chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "chunks").select(F.col("chunk_id").alias("id"), "text")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with a span of 160 or more characters that also stands in another chunk."""
+    return spans.shared_stretches(_chunk_texts(spark, sf_dir)).select(F.col("id").alias("chunk_id")).distinct()
+
+
+def p3_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every chunk the number of its characters, and of those in shared spans."""
+    chunks = _chunk_texts(spark, sf_dir)
+    sizes = chunks.groupBy("id").agg(F.coalesce(F.max(F.length("text")), F.lit(0)).alias("chars"))
+    shared = spans.shared_characters(chunks)
+    return sizes.join(shared, "id", "left").select(F.col("id").alias("chunk_id"), "chars", F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"))
+
+
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all oversized chunks."""
     return splitting.split_oversized(table(spark, sf_dir, "chunks"))
@@ -23,6 +41,21 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pieces(spark, sf_dir).where("piece = 0").select("chunk_id").distinct()
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return encoding.encode_texts(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of documents, of tokens, and of documents whose decoded ids differ from their text."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = encoding.encode_texts(documents, "doc_id")
+    back = encoding.decode_ids(ids, "doc_id").select(F.col("doc_id").alias("id"), F.col("text").alias("decoded"))
+    sizes = ids.agg(F.sum(F.size("ids")).alias("tokens"))
+    same = documents.join(back, F.col("doc_id") == F.col("id"))
+    return same.agg(F.count(F.lit(1)).alias("documents"), F.count_if(~F.col("decoded").eqNullSafe(F.col("text"))).alias("different")).crossJoin(F.broadcast(sizes))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that look the same with different characters."""
     return normalise.look_alikes(table(spark, sf_dir, "documents"))
@@ -35,8 +68,12 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_shared": p3_shared,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
+    "p7_ids": p7_ids,
+    "p7_round_trip": p7_round_trip,
     "p9_found": p9_found,
     "p9_canonical": p9_canonical,
 }
