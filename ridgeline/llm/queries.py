@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import encoding, normalise, ranking, spans, splitting
+from ridgeline.llm import encoding, neighbours, normalise, ranking, spans, splitting
 from ridgeline.session import table
 
 
@@ -31,6 +31,22 @@ def p3_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.join(shared, "id", "left").select(F.col("id").alias("chunk_id"), "chars", F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"))
 
 
+def _chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "chunks_vec").select(F.col("chunk_id").alias("id"), "embedding")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks of a similarity of at least 0.90, one among the 10 most similar of the other."""
+    near = neighbours.nearest(_chunk_vectors(spark, sf_dir), k=10, least=0.9, width=12)
+    return near.select(F.least("id", "neighbour").alias("chunk_a"), F.greatest("id", "neighbour").alias("chunk_b")).distinct()
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar chunks of every chunk whose id is divisible by 50, against all rows."""
+    near = neighbours.nearest(_chunk_vectors(spark, sf_dir), k=10, probes=None, every=50)
+    return near.select(F.col("id").alias("chunk_id"), "neighbour", F.round("similarity", 6).alias("similarity"))
+
+
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all oversized chunks."""
     return splitting.split_oversized(table(spark, sf_dir, "chunks"))
@@ -70,6 +86,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_shared": p3_shared,
+    "p5_found": p5_found,
+    "p5_neighbours": p5_neighbours,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_ids": p7_ids,
@@ -91,6 +109,12 @@ ORACLE = {
              s AS (SELECT qid, chunk_id, round(exp(avg(ln(greatest(1e-9, least(1 - 1e-9, 1 / (1 + exp(-z))))))), 9) AS s FROM z GROUP BY 1, 2),
              a AS (SELECT h.qid, h.chunk_id, coalesce(s.s, 0) AS s FROM h LEFT JOIN s ON h.qid = s.qid AND h.chunk_id = s.chunk_id)
         SELECT qid, chunk_id FROM a QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, chunk_id) = 1""",
+    "p5_found": """
+        WITH v AS (SELECT DISTINCT chunk_id, embedding::DOUBLE[] AS e FROM chunks_vec
+                   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+             s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.chunk_id <> b.chunk_id),
+             t AS (SELECT a, b FROM s WHERE s >= 0.9 QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 10)
+        SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM t""",
     "p6_found": r"""
         SELECT DISTINCT chunk_id FROM chunks
         WHERE length(regexp_replace(text, '[\t\n\x{0b}\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '', 'g')) > 2000""",
