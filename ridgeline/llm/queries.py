@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import encoding, neighbours, normalise, ranking, spans, splitting
+from ridgeline.llm import encoding, mixing, neighbours, normalise, ranking, spans, splitting
 from ridgeline.session import table
 
 
@@ -72,6 +72,25 @@ def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same.agg(F.count(F.lit(1)).alias("documents"), F.count_if(~F.col("decoded").eqNullSafe(F.col("text"))).alias("different")).crossJoin(F.broadcast(sizes))
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_plans"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the plans whose target can't be reached."""
+    return mixing.unreachable(_mixture(spark, sf_dir))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets and the shares really reached, for every row of the plans."""
+    return _mixture(spark, sf_dir).shares
+
+
+def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents selected for each plan and how often."""
+    return _mixture(spark, sf_dir).selection
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that look the same with different characters."""
     return normalise.look_alikes(table(spark, sf_dir, "documents"))
@@ -92,6 +111,9 @@ QUERIES = {
     "p6_pieces": p6_pieces,
     "p7_ids": p7_ids,
     "p7_round_trip": p7_round_trip,
+    "p8_found": p8_found,
+    "p8_shares": p8_shares,
+    "p8_selection": p8_selection,
     "p9_found": p9_found,
     "p9_canonical": p9_canonical,
 }
