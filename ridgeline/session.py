@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +28,24 @@ def build_session(master: str = "local[*]", app: str = "ridgeline", **conf: str)
     return SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_ridgeline_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    made = tempfile.mkdtemp(prefix="ridgeline-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    with zipfile.ZipFile(f"{made}/ridgeline.zip", "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    context.addPyFile(f"{made}/ridgeline.zip")
+    context._ridgeline_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
