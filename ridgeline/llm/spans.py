@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ridgeline.session import staged
 
 SPAN = 160
-GRAM = 32
+GRAM = 64
 _MASK = np.uint64((1 << 24) - 1)
 #: Characters a numpy pass works on; a longer text is cut into stretches that overlap by a span.
 STRETCH = 1 << 20
