@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import encoding, mixing, neighbours, normalise, ranking, spans, splitting
+from ridgeline.llm import encoding, handwritten, mixing, neighbours, normalise, ranking, spans, splitting
 from ridgeline.session import table
 
 
@@ -31,6 +31,25 @@ def p3_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.join(shared, "id", "left").select(F.col("id").alias("chunk_id"), "chars", F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"))
 
 
+def _kinds(spark: SparkSession, sf_dir: str):
+    return handwritten.classify(table(spark, sf_dir, "files"), table(spark, sf_dir, "chunks"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that aren't hand-written."""
+    return _kinds(spark, sf_dir)[0].where("kind is not null").select("file_id").distinct()
+
+
+def p4_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with its kind (NULL: hand-written) and what it was told by."""
+    return _kinds(spark, sf_dir)[0]
+
+
+def p4_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classifiers against the markers, on repositories held out."""
+    return handwritten.validation_report(spark, _kinds(spark, sf_dir)[1])
+
+
 def _chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chunks_vec").select(F.col("chunk_id").alias("id"), "embedding")
 
@@ -105,6 +124,9 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_shared": p3_shared,
+    "p4_found": p4_found,
+    "p4_kinds": p4_kinds,
+    "p4_validation": p4_validation,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
     "p6_found": p6_found,
