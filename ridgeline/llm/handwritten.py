@@ -30,7 +30,7 @@ WIDTH = SHAPES + GRAMS + PATHS
 LINE = 300
 STRETCH = 1 << 20
 #: The least margin of a file without a marker that is trusted.
-MARGIN = 0.25
+MARGIN = 0.55
 
 # Folders, suffixes and header phrases by which tools and people mark such files.
 THIRD_PARTY_DIRS = (
@@ -63,6 +63,8 @@ _HEADERS = {k: re.compile(p, re.I | re.M) for k, p in (("generated", GENERATED_H
 _MASK = re.compile("|".join(f"(?:{p})" for p in (GENERATED_HEADER, THIRD_PARTY_HEADER, BANNER)), re.I)
 #: Comment and blank lines at the start of a file.
 _LEAD = re.compile(r"\A(?:[ \t]*(?://|#|--|/\*|\*|;|<!--|<\?|\"\"\"|'''|@?rem\b)[^\n]*(?:\n|\Z)|[ \t\r]*\n)*")
+_INSERT = re.compile(r"^[ \t]*insert[ \t]+into\b[^\n]*\bvalues\b", re.I | re.M)
+_BLOB = re.compile(r"^\W*(?:[bru]{0,2}[\"'])?[A-Za-z0-9+/=]{40,}[^A-Za-z0-9]*$", re.M)
 _COMMENT = re.compile(r"[ \t]*(?://|#|--|/\*|\*|;|<!--)")
 
 _SHAPE = np.arange(0x110000, dtype=np.uint32)
@@ -188,7 +190,7 @@ def _blocks(texts: list[str], plain: bool = False) -> Iterator[tuple[int, int, _
         i = j
 
 
-_STATS = ("ink", "literals", "digits", "short_lines", "lines", "blanks", "wide", "repeats")
+_STATS = ("ink", "literals", "digits", "short_lines", "lines", "blanks", "wide", "repeats", "inserts", "blobs")
 
 
 def _describe(weights: np.ndarray | None, plain: bool = False):
@@ -224,6 +226,8 @@ def _describe(weights: np.ndarray | None, plain: bool = False):
             out = {"project": b.column("project"), "path": b.column("path"), "ord": b.column("ord"), "chunk_id": b.column("chunk_id")}
             out |= {f"h_{k}": pa.array([k in x for x in kinds]) for k in ("generated", "third_party")}
             out |= {f"f_{k}": pa.array([k in x for x in feet]) for k in ("generated", "third_party")}
+            inserts = [len(_INSERT.findall(t)) if "INSERT" in t or "insert" in t else 0 for t in texts]
+            stats = np.column_stack([stats, inserts, [len(_BLOB.findall(t)) for t in texts]])
             out |= {s: pa.array(stats[:, i].astype(np.float64)) for i, s in enumerate(_STATS)}
             out["weight"] = pa.array(total)
             if plain:
@@ -260,7 +264,7 @@ def _label(files: DataFrame) -> DataFrame:
     prose = F.lower("path").rlike(r"\.(md|markdown|rst|txt|adoc)$")
     code = ~prose & (F.col("ink") > 60)
     # nearly all digits and separators of literals, or nearly no words between them
-    data = code & ((F.col("digits") > 0.45 * F.col("ink")) | ((F.col("digits") > 0.3 * F.col("ink")) & (F.col("literals") > 0.5 * F.col("ink"))))
+    data = code & ((F.col("digits") > 0.45 * F.col("ink")) | ((F.col("digits") > 0.3 * F.col("ink")) & (F.col("literals") > 0.5 * F.col("ink"))) | ((F.col("lines") >= 5) & (F.col("inserts") + F.col("blobs") > 0.7 * F.col("lines"))))
     small = code & (F.col("lines") > 0) & (F.col("short_lines") <= 0.5 * F.col("lines")) & (F.col("short_lines") <= 2) & (F.col("blanks") < 0.08 * F.col("ink")) & (F.col("wide") < 0.05 * F.col("ink"))
     repeated = code & (F.col("lines") >= 8) & (F.col("repeats") > 0.8 * F.col("lines"))
     by_path = kind("path")
@@ -342,7 +346,7 @@ def fit(labelled: DataFrame, chunks: DataFrame, sample: int = SAMPLE) -> Classif
     return Classifiers(w / (scale * np.sqrt(WIDTH / 40))[:, None], b, thresholds, validation)
 
 
-def _threshold(margin: np.ndarray, truth: np.ndarray, precision: float = 0.97, least: int = 3) -> float:
+def _threshold(margin: np.ndarray, truth: np.ndarray, precision: float = 0.97, least: int = 6) -> float:
     """The smallest margin, MARGIN at least, above which the held-out files are of the kind to `precision`."""
     for t in np.r_[MARGIN, np.sort(margin[(margin > MARGIN) & ~truth])]:
         above = margin > t
