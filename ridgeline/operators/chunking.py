@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions import fixed
+from ridgeline.session import spread
 
 _INK = re.compile(r"\S")
 #: Natural boundaries: runs of line feeds (longer ones are stronger), sentence ends, blanks.
@@ -94,7 +95,7 @@ def chunk_files(files: DataFrame, size: int = fixed.CHUNK_CHARS, overlap: int =
     kind = "array<struct<" + ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in CHUNK.split(", ")) + ">>"
 
     udf = F.pandas_udf(_typed(run), kind)
-    return files.select("project", "path", F.inline(udf("path", "text")))
+    return spread(files.select("project", "path", "text")).select("project", "path", F.inline(udf("path", "text")))
 
 
 def _typed(run):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import fixed, text
+from ridgeline.session import spread
 
 
 def _fields(chunks: DataFrame) -> Column:
@@ -17,6 +18,7 @@ def _fields(chunks: DataFrame) -> Column:
 
 def term_lists(chunks: DataFrame) -> DataFrame:
     """(project, chunk_id, terms, doc_len), a row per distinct chunk."""
+    chunks = spread(chunks.select("project", "chunk_id", "text", "tokens", "header"))
     one = chunks.select("project", "chunk_id", _fields(chunks).alias("terms")).dropDuplicates(["project", "chunk_id"])
     return one.withColumn("doc_len", F.size("terms"))
 
@@ -34,19 +36,17 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, project, chunk_id, score) of all chunks with a term of the query; smaller is better.
 
-    queries: (qid, terms ARRAY<STRING>), few enough to broadcast (the caller checks). One pass over the
-    chunks: the terms asked for are counted where the chunk is read, so no postings are shuffled;
-    only per-project statistics and the matches are.
+    queries: (qid, terms ARRAY<STRING>), a stated set whose distinct terms are collected and filter the
+    chunks' terms where the chunk is read: no postings are shuffled, only each chunk's length and its
+    occurrences of the terms asked for.
     """
     asked = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
-    lists = term_lists(chunks)
+    words = sorted({r["term"] for r in asked.collect()})
+    chunks = spread(chunks.select("project", "chunk_id", "text", "tokens", "header"))
+    read = chunks.select("project", "chunk_id", _fields(chunks).alias("_terms"))
+    lists = read.select("project", "chunk_id", F.size("_terms").alias("doc_len"), F.filter("_terms", lambda t: t.isin(words)).alias("_hits")).dropDuplicates(["project", "chunk_id"])
     stats = lists.groupBy("project").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avgdl"))
-    words = asked.select("term").distinct()
-    found = (
-        lists.select("project", "chunk_id", "doc_len", F.explode("terms").alias("term"))
-        .join(F.broadcast(words), "term")
-        .groupBy("project", "chunk_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("f"))
-    )
+    found = lists.select("project", "chunk_id", "doc_len", F.explode("_hits").alias("term")).groupBy("project", "chunk_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("f"))
     df = found.groupBy("project", "term").agg(F.count(F.lit(1)).alias("n_t"))
     idf = F.log((F.col("n_docs") - F.col("n_t") + 0.5) / (F.col("n_t") + 0.5))
     weight = df.join(stats, "project").select("project", "term", "avgdl", F.when(idf <= 0, F.lit(fixed.BM25_FLOOR)).otherwise(idf).alias("idf"))

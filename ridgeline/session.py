@@ -81,6 +81,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, piece: int = 1 << 20) -> DataFrame:
+    """`df` over more tasks if its files give fewer than the cluster has cores and than pieces of `piece`
+    bytes; for work that is heavy per row. A large table has more splits than that and stays as it is."""
+    jdf = df._jdf
+    pieces = int(str(jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // piece + 1
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, pieces)
+    return df.repartition(wanted) if jdf.rdd().getNumPartitions() < wanted else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """`df` with a broadcast hint if it has at most `max_rows` rows, else `df` as it is.
 
