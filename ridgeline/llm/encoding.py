@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.session import staged
+from ridgeline.session import spread, staged
 
 #: Where the vocabulary files lie; a parameter of every function here.
 TOKENIZERS = os.environ.get("RIDGELINE_TOKENIZERS", "/opt/tokenizers")
@@ -112,7 +112,7 @@ def _assemble(documents: pa.Table, dictionary: pa.Table) -> pa.Table:
 def _encoded(texts: DataFrame, tokenizers: str, vocabulary: str, block_words: int) -> DataFrame:
     """(key, ids, n) of `texts` (key BIGINT, text STRING), a row for each row."""
     path = f"{tokenizers}/{vocabulary}"
-    words = texts.select("key", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATTERN), F.lit(0)).alias("words"))
+    words = spread(texts).select("key", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATTERN), F.lit(0)).alias("words"))
     blocks = staged(words.mapInArrow(_blocks(block_words), "block long, key long, places array<int>, words array<string>"), "blocks")
     dictionary = blocks.where("words is not null").select("block", F.posexplode("words").alias("place", "word"))
     ids = dictionary.select("word").distinct().mapInArrow(_encode(path), "word string, ids array<int>")

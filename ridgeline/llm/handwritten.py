@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.session import staged
+from ridgeline.session import spread, staged
 
 KINDS = ("generated", "minified", "third_party", "data")
 #: Files of each side (with a label, without) that the classifiers are fitted on, at most.
@@ -246,7 +246,7 @@ _CHUNK = "project string, path string, ord int, chunk_id long, h_generated boole
 
 
 def _texts(chunks: DataFrame) -> DataFrame:
-    return chunks.select("project", "path", F.coalesce("ord", F.lit(1)).alias("ord"), "chunk_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(chunks.select("project", "path", "ord", "chunk_id", "text")).select("project", "path", F.coalesce("ord", F.lit(1)).alias("ord"), "chunk_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _per_file(described: DataFrame, extra: list[str]) -> DataFrame:
@@ -326,8 +326,11 @@ def fit(labelled: DataFrame, chunks: DataFrame, sample: int = SAMPLE) -> Classif
     rows = _texts(chunks.join(chosen, ["project", "path"])).dropDuplicates(["project", "path", "ord", "chunk_id"]).mapInArrow(_describe(None), f"{_CHUNK}, at array<int>, n array<float>")
     number = {k: i for i, k in enumerate(label)}
     x = np.zeros((len(label), WIDTH), np.float32)
-    for r in rows.select("project", "path", "at", "n").toLocalIterator():
-        np.add.at(x[number[r["project"], r["path"]]], np.asarray(r["at"], np.int64), np.asarray(r["n"], np.float32))
+    for b in rows.select("project", "path", "at", "n").toArrow().to_batches():
+        at, n = b.column("at"), b.column("n").values.to_numpy()
+        o, flat = at.offsets.to_numpy(), at.values.to_numpy()
+        for i, k in enumerate(zip(b.column("project").to_pylist(), b.column("path").to_pylist())):
+            x[number[k], flat[o[i] : o[i + 1]]] += n[o[i] : o[i + 1]]
     text = x[:, : SHAPES + GRAMS]
     text /= np.maximum(text[:, :SHAPES].sum(1, keepdims=True), 1e-9)
     for k, i in number.items():

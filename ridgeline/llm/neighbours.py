@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.session import spread
+
 DIMENSIONS = 64
 K = 10
 #: Vectors of the sample the centroids are fitted on, at most.
@@ -263,7 +265,7 @@ def nearest(
     vectors needn't have unit length. Repeated rows count once; ids with several vectors ask with each
     and get one list per vector, merged. Equal vectors are found exactly.
     """
-    vectors = vectors.select(F.col("id").cast("long").alias("id"), "embedding")
+    vectors = spread(vectors.select(F.col("id").cast("long").alias("id"), "embedding"))
     members = vectors.mapInArrow(_members, "id long, digest binary").distinct()
     total = vectors.count()
     shards = max(1, min(MAX_SHARDS, math.ceil(total / shard)))
@@ -274,7 +276,9 @@ def nearest(
         homes = vectors.mapInArrow(_route(centroids, 1, 0.0, {}, None), f"shard long, role int, {_VECTOR}").groupBy("shard").count()
         parts = {r["shard"] >> 8: min(255, math.ceil(r["count"] / (CROWDED * shard))) for r in homes.collect() if r["count"] > CROWDED * shard}
     routed = vectors.mapInArrow(_route(centroids, probes, margin, parts, every), f"shard long, role int, {_VECTOR}")
-    links = routed.groupBy("shard").applyInArrow(_search(k, max(width, k + 2), least), "a binary, b binary, sim double")
+    # a task's share stays the same as the table grows: a few shards each
+    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(len(centroids) / 8))
+    links = routed.repartition(tasks, "shard").groupBy("shard").applyInArrow(_search(k, max(width, k + 2), least), "a binary, b binary, sim double")
     # the k smallest other ids of a vector are all of it that any list can hold
     heads = _heads(members, k)
     best = links.groupBy("a").agg(F.collect_set(F.struct((-F.col("sim")).alias("d"), "b")).alias("near"))  # at most (k + 1) x shards visited

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.session import staged
+from ridgeline.session import spread, staged
 
 SPAN = 160
 GRAM = 64
@@ -159,7 +159,7 @@ def shared_stretches(records: DataFrame, span: int = SPAN, gram: int = GRAM) ->
 
     Repeated rows count once; NULL ids or texts and texts shorter than `span` give nothing.
     """
-    units = staged(records.select("id", "text").mapInArrow(_cut(span, gram), "id long, anchor long, unit long, start int, length int"), "units")
+    units = staged(spread(records.select("id", "text")).mapInArrow(_cut(span, gram), "id long, anchor long, unit long, start int, length int"), "units")
     # anchors in more than one record; the first shuffle holds one row per distinct anchor and task
     several = units.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("anchor")
     candidates = staged(units.join(several, "anchor"), "candidates")
