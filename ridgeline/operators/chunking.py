@@ -54,14 +54,15 @@ def chunk_spans(text: str, size: int = fixed.CHUNK_CHARS, overlap: int = fixed.C
             out.append((start, len(text)))
             return out
         most = inks[before + size]  # the first character too many
-        lo, hi = bisect.bisect_right(at, start), bisect.bisect_right(at, most)
-        lo = min(hi, max(lo, bisect.bisect_right(at, inks[before])))
+        past = out[-1][1] if out else 0  # every chunk ends after the one before
+        hi = bisect.bisect_right(at, most)
+        lo = min(hi, bisect.bisect_right(at, max(past, inks[before])))
         if hi > lo:
             top = max(strength[lo:hi])
             end = next(at[i] for i in range(hi - 1, lo - 1, -1) if strength[i] == top)
         else:
             end = most
-            while end > start + 1 and (0x300 <= ord(text[end]) <= 0x36F or ord(text[end]) in (0x200D, 0xFE0F) or ord(text[end - 1]) == 0x200D):
+            while end > max(start, past) + 1 and (0x300 <= ord(text[end]) <= 0x36F or ord(text[end]) in (0x200D, 0xFE0F) or ord(text[end - 1]) == 0x200D):
                 end -= 1
         out.append((start, end))
         if overlap:
