@@ -29,6 +29,8 @@ WIDTH = SHAPES + GRAMS + PATHS
 #: A line of more characters counts as one of this length, so that one embedded blob doesn't outweigh a file.
 LINE = 300
 STRETCH = 1 << 20
+#: Parts of the repositories for validation.
+FOLDS = 3
 #: The least margin of a file without a marker that is trusted.
 MARGIN = 0.55
 
@@ -198,7 +200,9 @@ def _describe(weights: np.ndarray | None, plain: bool = False):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
+            if not len(b):
+                continue
+            texts = [t or "\n" for t in b.column("text").to_pylist()]  # every text has a character
             first = b.column("ord").to_pylist()
             kinds = [header_kinds(t) if not o else set() for t, o in zip(texts, first)]
             feet = [footer_kinds(t) for t in texts]
@@ -312,8 +316,9 @@ def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 120, c: float = 4.0) -> tup
 def fit(labelled: DataFrame, chunks: DataFrame, sample: int = SAMPLE) -> Classifiers | None:
     """Classifiers from at most `sample` files with and `sample` without a label, those of the smallest hash.
 
-    Projects with a hash divisible by 5 are held out for `validation` (kind, true positives, false
-    positives, missed, files). None without a labelled file.
+    Repositories fall into FOLDS by their hash; those of each are judged by classifiers that haven't
+    seen them, for the thresholds and for `validation` (kind, true positives, false positives, missed,
+    files). None without a labelled file.
     """
     spark = labelled.sparkSession
     h = F.xxhash64("project", "path")
@@ -336,16 +341,20 @@ def fit(labelled: DataFrame, chunks: DataFrame, sample: int = SAMPLE) -> Classif
     for k, i in number.items():
         x[i, _path_features(k[1])] = 1.0
     y = np.array([[1 if v == k else -1 for k in KINDS] for v in label.values()], np.float32)
-    held = np.array([xxhash.xxh3_64_intdigest(p or "") % 5 == 0 for p, _ in label])
+    fold = np.array([xxhash.xxh3_64_intdigest(p or "") % FOLDS for p, _ in label])
     scale = np.r_[np.sqrt((text * text).mean(0)) + 2e-5, np.full(PATHS, 3.0)].astype(np.float32)
     x /= scale * np.sqrt(WIDTH / 40)
-    w, b = _svm(x[~held], y[~held])
-    margin, truth = x[held] @ w + b, y[held] > 0
+    margin, told = np.zeros_like(y), np.zeros(len(y), bool)
+    for k in range(FOLDS):
+        held = fold == k
+        if held.any() and not held.all():
+            w, b = _svm(x[~held], y[~held])
+            margin[held], told = x[held] @ w + b, told | held
+    margin, truth = margin[told], y[told] > 0
     thresholds = np.array([_threshold(margin[:, i], truth[:, i]) for i in range(len(KINDS))])
     guess = margin > thresholds
-    validation = [(k, int((guess[:, i] & truth[:, i]).sum()), int((guess[:, i] & ~truth[:, i]).sum()), int((~guess[:, i] & truth[:, i]).sum()), int(held.sum())) for i, k in enumerate(KINDS)]
-    if held.any() and not held.all():
-        w, b = _svm(x, y)
+    validation = [(k, int((guess[:, i] & truth[:, i]).sum()), int((guess[:, i] & ~truth[:, i]).sum()), int((~guess[:, i] & truth[:, i]).sum()), int(told.sum())) for i, k in enumerate(KINDS)]
+    w, b = _svm(x, y)
     return Classifiers(w / (scale * np.sqrt(WIDTH / 40))[:, None], b, thresholds, validation)
 
 

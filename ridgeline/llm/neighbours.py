@@ -277,7 +277,7 @@ def nearest(
         parts = {r["shard"] >> 8: min(255, math.ceil(r["count"] / (CROWDED * shard))) for r in homes.collect() if r["count"] > CROWDED * shard}
     routed = vectors.mapInArrow(_route(centroids, probes, margin, parts, every), f"shard long, role int, {_VECTOR}")
     # a task's share stays the same as the table grows: a few shards each
-    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(len(centroids) / 8))
+    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(len(centroids) / 2))
     links = routed.repartition(tasks, "shard").groupBy("shard").applyInArrow(_search(k, max(width, k + 2), least), "a binary, b binary, sim double")
     # the k smallest other ids of a vector are all of it that any list can hold
     heads = _heads(members, k)

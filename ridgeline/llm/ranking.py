@@ -73,7 +73,7 @@ def combine_scores(
     the logistic function, so an outlier can't exceed 1, and the bounded values are combined by a
     weighted geometric mean (weights: 1 each by default).
 
-    NULL, NaN and infinite scores are missing. A score that no hit of a key has takes no part there.
+    A column `combined` of the input is replaced. NULL, NaN and infinite scores are missing. A score that no hit of a key has takes no part there.
     A hit without a score that others of its key have gets the middle value 0.5 for it, neither
     better nor worse than the key's median. Constant scores give 0.5 to all. A key whose hits have no
     score at all gets `combined` NULL. Rows with a NULL key are one group. Repeated rows are the
@@ -82,7 +82,10 @@ def combine_scores(
     names = list(scores)
     weights = {n: 1.0 for n in names} | dict(weights or {})
     val = lambda n: F.when(F.isnan(scores[n][0]) | (F.abs(scores[n][0]) == float("inf")), None).otherwise(scores[n][0].cast("double") * (1.0 if scores[n][1] else -1.0))
-    k, own = "_key", [f"_s{i}" for i in range(len(names))]
+    free = "_"
+    while any(c.startswith(free) for c in hits.columns):
+        free += "_"
+    k, own = f"{free}key", [f"{free}s{i}" for i in range(len(names))]
     base = hits.withColumns({k: F.coalesce(F.to_json(F.struct(F.col(key).alias("v"))), F.lit(""))} | {c: val(n) for c, n in zip(own, names)})
     mid = _medians(base.select(k, *own), k, own, buffer_rows).select(k, *[F.col(c).alias(f"{c}m") for c in own])
     dev = base.join(mid, k).withColumns({f"{c}d": F.col(c) - F.col(f"{c}m") for c in own})
@@ -98,7 +101,8 @@ def combine_scores(
         present = F.col(f"{c}m").isNotNull()
         total = total + F.when(present, F.log(bounded) * weights[n]).otherwise(0.0)
         weight = weight + F.when(present, F.lit(weights[n])).otherwise(0.0)
-    return scaled.withColumn("combined", F.when(weight > 0, F.exp(total / weight))).select(*hits.columns, "combined")
+    kept = [c for c in hits.columns if c != "combined"]
+    return scaled.select(*kept, F.when(weight > 0, F.exp(total / weight)).alias("combined"))
 
 
 def rank_hits(hits: DataFrame, buffer_rows: int = BUFFER_ROWS) -> DataFrame:

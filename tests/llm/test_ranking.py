@@ -1,0 +1,75 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from ridgeline.llm import ranking
+
+SCORES = "struct<rrf:double,bm25:int,dense:int,rerank:double,bm25_raw:double,distance:double>"
+SCHEMA = f"qid long, chunk_id long, scores {SCORES}, combined string, _key string"
+
+
+def rows():
+    rng = np.random.default_rng(4)
+    out = []
+    for q in range(12):
+        for c in range(int(rng.integers(1, 40))):
+            s = [float(rng.random()), int(rng.integers(0, 60)), int(rng.integers(0, 60)), float(rng.normal() * 100), float(-rng.random() * 50), float(rng.random())]
+            for i in range(6):
+                if rng.random() < 0.1:
+                    s[i] = float("nan") if i == 3 and rng.random() < 0.5 else None
+            out.append((q, c, None if rng.random() < 0.05 else tuple(s), "x", "y"))
+    out += [(50, 1, (0.5, 3, 3, 1.0, -1.0, 0.1), "x", "y"), (50, 2, (0.5, 3, 3, 1.0, -1.0, 0.1), "x", "y")]  # ties
+    out += [(51, 7, None, None, None), (51, 3, None, None, None), (None, 1, (0.5, None, None, None, None, None), None, None)]
+    return out + out[:9]
+
+
+def brute(data):
+    sign = [1, -1, -1, 1, -1, -1]
+    hits = {}
+    for q, c, s, *_ in data:
+        hits[q, c] = s
+    best = {}
+    for q in {k[0] for k in hits}:
+        own = {c: [np.nan if s is None or s[i] is None else float(s[i]) * sign[i] for i in range(6)] for (k, c), s in hits.items() if k == q}
+        m = np.array(list(own.values()))
+        score = np.zeros(len(m))
+        n = 0
+        for i in range(6):
+            col = m[:, i]
+            if np.isnan(col).all():
+                continue
+            d = col - np.nanmedian(col)
+            mad, aad = np.nanmedian(np.abs(d)) * 1.4826, np.nanmean(np.abs(d)) * 1.2533
+            z = d / (mad or aad) if mad or aad else d * 0
+            score += np.log(np.clip(1 / (1 + np.exp(-np.nan_to_num(z, nan=0.0))), 1e-9, 1 - 1e-9))
+            n += 1
+        final = np.round(np.exp(score / n), 9) if n else np.zeros(len(m))
+        best[q] = min(zip(-final, own))[1]
+    return best
+
+
+def test_first_hits_equal_brute_force(spark):
+    data = rows()
+    df = spark.createDataFrame(data, SCHEMA)
+    want = brute(data)
+    assert {r.qid: r.chunk_id for r in ranking.best_hits(df).collect()} == want
+    # the distributed medians give the same
+    assert {r.qid: r.chunk_id for r in ranking.best_hits(df, buffer_rows=5).collect()} == want
+    assert ranking.best_hits(df.limit(0)).count() == 0
+
+
+def test_distributed_medians_are_exact(spark):
+    rng = np.random.default_rng(1)
+    data = [("hot", float(v)) for v in np.round(rng.normal(0, 1e3, 4000), 1)] + [("ties", 2.0)] * 11 + [("two", -1.5), ("two", 4.0), ("zero", 0.0), ("none", None), ("sign", -3.0), ("sign", 0.0), ("sign", 1e-300)]
+    got = {r.k: r.median for r in ranking.histogram_medians(spark.createDataFrame(data, "k string, v double"), ["k"], "v").collect()}
+    want = {k: float(np.median([v for x, v in data if x == k and v is not None])) for k in got}
+    assert got == want and "none" not in got
+
+
+def test_range_does_not_matter_and_outliers_are_bounded(spark):
+    data = [(1, i, float(i), float(-i) * 1e6) for i in range(5)] + [(1, 9, 1e12, -2e6)]
+    df = spark.createDataFrame(data, "q long, c long, a double, b double")
+    cols = {"a": (F.col("a"), True), "b": (F.col("b"), False)}
+    out = {r.c: r.combined for r in ranking.combine_scores(df, "q", cols).collect()}
+    assert all(0 < v < 1 for v in out.values()) and max(out, key=out.get) == 4
+    one = {r.c: r.combined for r in ranking.combine_scores(df, "q", cols, {"a": 0.0}).collect()}
+    assert sorted(one, key=one.get) == [0, 1, 2, 9, 3, 4] or one[2] == one[9]
