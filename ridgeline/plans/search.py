@@ -11,6 +11,7 @@ from ridgeline.functions import fixed
 from ridgeline.functions.paths import matches_any
 from ridgeline.functions.text import query_terms
 from ridgeline.operators import dense, lexical, ranking
+from ridgeline.session import staged
 
 MODES = ("hybrid", "lexical", "semantic")
 
@@ -63,11 +64,12 @@ def search(
     if projects is not None:
         scope = sorted({root, *projects})
         chunks, files, vectors = (df.where(F.col("project").isin(scope)) for df in (chunks, files, vectors))
-    fused = ranking.rrf(lanes(chunks, vectors, queries, mode, candidates, dimensions))
-    # at most queries x projects x 2 candidates: joined to the rows they name, others are dropped
-    rows = chunks.select("project", "chunk_id", F.col("path").alias("rel_path"), "start_line", "end_line", "text").dropDuplicates(["project", "chunk_id"])
+    # at most queries x projects x 2 candidates, written out so that the planner sees their size and
+    # broadcasts them to the chunks where they are few; candidates without a row are dropped
+    fused = staged(ranking.rrf(lanes(chunks, vectors, queries, mode, candidates, dimensions)), "candidates")
+    rows = chunks.select("project", "chunk_id", F.col("path").alias("rel_path"), "start_line", "end_line", "text")
     langs = files.groupBy("project", F.col("path").alias("rel_path")).agg(F.max_by("lang", F.struct("seen_at", "lang")).alias("lang")) if "seen_at" in files.columns else files.select("project", F.col("path").alias("rel_path"), "lang")
-    hits = fused.join(rows, ["project", "chunk_id"]).join(langs, ["project", "rel_path"])
+    hits = rows.join(fused, ["project", "chunk_id"]).dropDuplicates(["qid", "project", "chunk_id"]).join(langs, ["project", "rel_path"])
     if lang:
         hits = hits.where(F.col("lang") == lang)
     if path_glob:

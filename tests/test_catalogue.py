@@ -51,7 +51,7 @@ def test_every_query_reads_whole_tables():
 
 
 def plan_of(df):
-    return df._jdf.queryExecution().toString()
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_scans_read_only_the_columns_they_need(spark, data):
