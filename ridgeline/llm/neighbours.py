@@ -113,8 +113,9 @@ def _nearest(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The n nearest other rows of each row of x, in blocks: (rows, similarities), nearest first."""
     n = min(n, len(x) - 1)
     near, sim = np.empty((len(x), n), np.int32), np.empty((len(x), n), np.float32)
-    for i in range(0, len(x), 2048):
-        s = x[i : i + 2048] @ x.T
+    step = min(2048, max(64, (1 << 22) // len(x)))  # a block of products stays below some 16 MB
+    for i in range(0, len(x), step):
+        s = x[i : i + step] @ x.T
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -2
         top = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < len(x) - 1 else np.argsort(-s, axis=1)[:, :n]
         val = np.take_along_axis(s, top, 1)

@@ -62,10 +62,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 most similar chunks of every chunk whose id is divisible by 50, against all rows."""
-    near = neighbours.nearest(_chunk_vectors(spark, sf_dir), k=10, probes=None, every=50)
+    near = neighbours.nearest(_chunk_vectors(spark, sf_dir), k=10, probes=None, width=32, every=50, shard=20_000)
     return near.select(F.col("id").alias("chunk_id"), "neighbour", F.round("similarity", 6).alias("similarity"))
 
 
+def p3_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk's text less what an earlier chunk has, with the intervals removed."""
+    out = spans.without_repeats(_chunk_texts(spark, sf_dir))
+    return out.select(F.col("id").alias("chunk_id"), "text", F.to_json("removed").alias("removed"), "removed_chars")
+
+
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all oversized chunks."""
     return splitting.split_oversized(table(spark, sf_dir, "chunks"))
@@ -115,6 +121,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise.look_alikes(table(spark, sf_dir, "documents"))
 
 
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The look-alike classes, a row per document."""
+    return normalise.look_alike_classes(table(spark, sf_dir, "documents"))
+
+
 def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text in its one form, case folded."""
     return normalise.normalise_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "canonical")
@@ -124,6 +135,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_shared": p3_shared,
+    "p3_without_repeats": p3_without_repeats,
     "p4_found": p4_found,
     "p4_kinds": p4_kinds,
     "p4_validation": p4_validation,
@@ -137,6 +149,7 @@ QUERIES = {
     "p8_shares": p8_shares,
     "p8_selection": p8_selection,
     "p9_found": p9_found,
+    "p9_classes": p9_classes,
     "p9_canonical": p9_canonical,
 }
 

@@ -152,10 +152,11 @@ def _windows(span: int):
     return run
 
 
-def shared_stretches(records: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(id, start, end): stretches of `records` (id BIGINT, text STRING) whose every window of `span`
-    characters occurs verbatim in a record with another id. Offsets are code points; stretches of a
-    record may touch or overlap; together they cover exactly the shared characters.
+def shared_stretches(records: DataFrame, span: int = SPAN, gram: int = GRAM, earliest: bool = False) -> DataFrame:
+    """(id, start, end, first): stretches of `records` (id BIGINT, text STRING) whose every window of
+    `span` characters occurs verbatim in a record with another id; with `earliest`, `first` is the
+    smallest id that has those windows (else some id). Offsets are code points; stretches of a record may touch or overlap; together they
+    cover exactly the shared characters.
 
     Repeated rows count once; NULL ids or texts and texts shorter than `span` give nothing.
     """
@@ -167,10 +168,10 @@ def shared_stretches(records: DataFrame, span: int = SPAN, gram: int = GRAM) ->
         candidates.groupBy("anchor", "unit").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.struct("id", "start", "length")).alias("at")),
         "distinct-units",
     )
-    whole = distinct.where("lo <> hi").select("anchor", "unit")
+    whole = distinct.where("lo <> hi").select("anchor", "unit", F.col("lo").alias("first"))
     # anchors whose units differ: each distinct unit is looked at once, in the record that holds it first
     differ = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("lo") == F.col("hi"), 1)).alias("single"))
-    differ = differ.where("n > 1 and single > 0").select("anchor")
+    differ = differ.where("n > 1" if earliest else "n > 1 and single > 0").select("anchor")
     asked = (
         distinct.join(differ, "anchor")
         .groupBy(F.col("at.id").alias("id"))
@@ -181,11 +182,15 @@ def shared_stretches(records: DataFrame, span: int = SPAN, gram: int = GRAM) ->
         .mapInArrow(_windows(span), "anchor long, unit long, offset int, w1 long, w2 long, lo long, hi long"),
         "windows",
     )
-    twice = windows.groupBy("w1", "w2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("w1", "w2")
-    found = windows.join(twice, ["w1", "w2"]).groupBy("anchor", "unit").agg(F.array_sort(F.collect_set("offset")).alias("offsets"))  # at most `span` offsets
+    twice = windows.groupBy("w1", "w2").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first <> last").select("w1", "w2", "first")
+    found = windows.join(twice, ["w1", "w2"])
+    if not earliest:
+        found = found.join(whole.select("anchor", "unit"), ["anchor", "unit"], "left_anti")
+    # else a unit shared whole may hold windows that a still earlier record has
+    first = found.groupBy("anchor", "unit", "first").agg(F.array_sort(F.collect_set("offset")).alias("offsets"))  # at most `span` offsets
     # runs of offsets: [first, last]
-    partial = found.join(whole, ["anchor", "unit"], "left_anti").select(
-        "anchor", "unit",
+    partial = first.select(
+        "anchor", "unit", "first",
         F.explode(
             F.expr("""transform(filter(offsets, o -> not array_contains(offsets, o - 1)),
                       o -> struct(o as a, array_min(filter(offsets, p -> p >= o and not array_contains(offsets, p + 1))) as z))""")
@@ -193,21 +198,38 @@ def shared_stretches(records: DataFrame, span: int = SPAN, gram: int = GRAM) ->
     )
     spans = (
         whole.withColumn("a", F.lit(0)).withColumn("z", F.lit(None).cast("int"))
-        .unionByName(partial.select("anchor", "unit", F.col("run.a").alias("a"), F.col("run.z").alias("z")))
+        .unionByName(partial.select("anchor", "unit", "first", F.col("run.a").alias("a"), F.col("run.z").alias("z")))
     )
     return candidates.join(spans, ["anchor", "unit"]).select(
         "id", (F.col("start") + F.col("a")).alias("start"),
-        (F.col("start") + F.when(F.col("z").isNull(), F.col("length")).otherwise(F.col("z") + span)).alias("end"),
+        (F.col("start") + F.when(F.col("z").isNull(), F.col("length")).otherwise(F.col("z") + span)).alias("end"), "first",
     )
 
 
+_MERGED = """aggregate(array_sort(collect_set(struct(start, end))), cast(array() as array<struct<start:int,end:int>>),
+    (acc, x) -> if(size(acc) = 0 or x.start > element_at(acc, -1).end, concat(acc, array(x)),
+        concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start as start, greatest(element_at(acc, -1).end, x.end) as end)))))"""
+_LENGTH = "aggregate(spans, 0, (n, s) -> n + s.end - s.start)"
+
+
 def shared_characters(records: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(id, spans, shared_chars): per record with a shared span, the maximal covered intervals and their length."""
-    merged = """aggregate(array_sort(collect_set(struct(start, end))), cast(array() as array<struct<start:int,end:int>>),
-        (acc, x) -> if(size(acc) = 0 or x.start > element_at(acc, -1).end, concat(acc, array(x)),
-            concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start as start, greatest(element_at(acc, -1).end, x.end) as end)))))"""
-    return (
-        shared_stretches(records, span, gram)
-        .groupBy("id").agg(F.expr(merged).alias("spans"))
-        .select("id", "spans", F.expr("aggregate(spans, 0, (n, s) -> n + s.end - s.start)").alias("shared_chars"))
+    merged = shared_stretches(records, span, gram).groupBy("id").agg(F.expr(_MERGED).alias("spans"))
+    return merged.select("id", "spans", F.expr(_LENGTH).alias("shared_chars"))
+
+
+def without_repeats(records: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """(id, text, removed, removed_chars): each record less what a record with a smaller id has already.
+
+    The earliest record keeps a shared span; in later ones it is cut out, and `removed` has the
+    intervals, in offsets of the original text. Records without any keep their text and an empty
+    `removed`. A row per distinct (id, text); NULL texts stay NULL.
+    """
+    gone = shared_stretches(records, span, gram, earliest=True).where("first < id").groupBy("id").agg(F.expr(_MERGED).alias("spans")).select("id", "spans", F.expr(_LENGTH).alias("n"))
+    pieces = """array_join(transform(sequence(0, size(spans)), i -> substring(text,
+        if(i = 0, 0, spans[i - 1].end) + 1, if(i = size(spans), length(text), spans[i].start) - if(i = 0, 0, spans[i - 1].end))), '')"""
+    both = records.select("id", "text").distinct().join(gone, "id", "left")
+    return both.select(
+        "id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.expr(pieces.replace("spans[i - 1]", "spans[greatest(i - 1, 0)]").replace("spans[i]", "spans[least(i, size(spans) - 1)]"))).alias("text"),
+        F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("removed"), F.coalesce("n", F.lit(0)).alias("removed_chars"),
     )

@@ -57,3 +57,23 @@ def test_intervals(spark):
     a, b = "first part " * 16, "".join(chr(97 + i * 7 % 26) for i in range(400))
     got = {r.id: r for r in spans.shared_characters(spark.createDataFrame([(1, "x" + b + "y"), (2, b[:200] + "?" + b[200:]), (3, a)], "id long, text string").select("*", F.lit(1).alias("end"))).collect()}
     assert [tuple(s) for s in got[1].spans] == [(1, 401)] and [tuple(s) for s in got[2].spans] == [(0, 200), (201, 401)] and 3 not in got
+
+
+def test_the_earliest_record_keeps_a_span(spark):
+    random.seed(9)
+    a, b, c = ("".join(random.choice("abcdefgh ") for _ in range(220)) for _ in range(3))
+    rows = [(1, "x" + a), (2, a + b), (3, "y" + a + "z" + b + "!"), (4, c), (5, a[:150] + c), (6, None), (7, "short"), (7, "short")]
+    got = {r.id: r for r in spans.without_repeats(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert {i: r.text for i, r in got.items()} == {1: "x" + a, 2: b, 3: "yz!", 4: c, 5: a[:150], 6: None, 7: "short"}
+    assert [tuple(s) for s in got[3].removed] == [(1, 221), (222, 442)] and got[3].removed_chars == 440 and got[1].removed_chars == 0
+    assert spans.without_repeats(spark.createDataFrame([], "id long, text string")).count() == 0
+
+
+def test_windows_of_units_shared_whole_go_to_the_earliest(spark):
+    random.seed(10)
+    t = "".join(random.choice("abcdefgh ") for _ in range(600))
+    rows = [(2, t[:300]), (5, t), (9, t), (11, t[100:500])]
+    got = {r.id: r.text for r in spans.without_repeats(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert got == {2: t[:300], 5: t[300:], 9: "", 11: ""} or (got[2], got[9], got[11]) == (t[:300], "", "")
+    # brute force: what is left of 5 is what no window shared with 2 covers
+    assert got[5] == t[300:]
