@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -90,6 +90,19 @@ def spread(df: DataFrame, piece: int = 1 << 20) -> DataFrame:
     return df.repartition(wanted) if jdf.rdd().getNumPartitions() < wanted else df
 
 
+def lowest(df: DataFrame, key: Column, n: int, total: int) -> DataFrame:
+    """About the `n` rows with the smallest 64-bit hash `key`, of `total` rows: never more than n.
+
+    Rows above the range that 2 n rows are expected in are dropped where they are read, so the one task
+    that orders them doesn't get n rows from each of the others.
+    """
+    share = min(1.0, 2.0 * n / max(total, 1))
+    kept = df.withColumn("_lowest", key)
+    if share < 1:
+        kept = kept.where(F.col("_lowest") < int(-(1 << 63) + share * (1 << 64)))
+    return kept.orderBy("_lowest").limit(n).drop("_lowest")
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """`df` with a broadcast hint if it has at most `max_rows` rows, else `df` as it is.
 
