@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.session import spread, staged
+from ridgeline.session import lowest, spread, staged
 
 KINDS = ("generated", "minified", "third_party", "data")
 #: Files of each side (with a label, without) that the classifiers are fitted on, at most.
@@ -322,8 +322,9 @@ def fit(labelled: DataFrame, chunks: DataFrame, sample: int = SAMPLE) -> Classif
     """
     spark = labelled.sparkSession
     h = F.xxhash64("project", "path")
-    keys = labelled.select("project", "path", "label", h.alias("h"))
-    some = keys.where("label is not null").orderBy("h").limit(sample).unionByName(keys.where("label is null").orderBy("h").limit(sample)).collect()
+    keys = labelled.select("project", "path", "label")
+    n = {r["told"]: r["n"] for r in keys.groupBy(F.col("label").isNotNull().alias("told")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    some = lowest(keys.where("label is not null"), h, sample, n.get(True, 0)).unionByName(lowest(keys.where("label is null"), h, sample, n.get(False, 0))).collect()
     if not any(r["label"] for r in some):
         return None
     label = {(r["project"], r["path"]): r["label"] for r in some}

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.session import spread
+from ridgeline.session import lowest, spread
 
 DIMENSIONS = 64
 K = 10
@@ -50,9 +50,9 @@ def _digests(x: np.ndarray) -> list[bytes]:
     return [xxhash.xxh3_128_digest(row) for row in np.ascontiguousarray(x + np.float32(0))]
 
 
-def fit_centroids(vectors: DataFrame, shards: int, sample: int = SAMPLE, rounds: int = 6) -> np.ndarray:
-    """Spherical k-means centroids from the `sample` rows with the smallest hash; the rest doesn't matter for them."""
-    rows = vectors.select("id", "embedding").where("id is not null and embedding is not null").orderBy(F.xxhash64("id")).limit(sample)
+def fit_centroids(vectors: DataFrame, shards: int, total: int, sample: int = SAMPLE, rounds: int = 6) -> np.ndarray:
+    """Spherical k-means centroids from at most `sample` rows of the smallest hash; the rest doesn't matter for them."""
+    rows = lowest(vectors.select("id", "embedding").where("id is not null and embedding is not null"), F.xxhash64("id"), sample, total)
     table = rows.toArrow().combine_chunks()
     batches = table.to_batches()
     x = np.concatenate([_usable(b)[1] for b in batches]) if batches else np.empty((0, DIMENSIONS), np.float32)
@@ -270,7 +270,7 @@ def nearest(
     members = vectors.mapInArrow(_members, "id long, digest binary").distinct()
     total = vectors.count()
     shards = max(1, min(MAX_SHARDS, math.ceil(total / shard)))
-    centroids = fit_centroids(vectors, shards, sample)
+    centroids = fit_centroids(vectors, shards, total, sample)
     probes, margin = (len(centroids), 3.0) if probes is None else (probes, margin)
     parts: dict[int, int] = {}
     if len(centroids) > 1:  # at most MAX_SHARDS rows
