@@ -58,6 +58,75 @@ def test_a_failed_run_is_made_up_for(spark, tmp_path, monkeypatch):
     assert ("p", "later", "write") in rows(out) and len(changed) == 1 and out.count() == len(rows(out))
 
 
+def count_by(parts):
+    return parts["t"].groupBy("k").agg(F.sum("v").alias("v"))
+
+
+def times_two(parts):
+    return parts["t"].groupBy("k").agg((F.sum("v") * 2).alias("v"))
+
+
+def table_of(spark, n=1000, changed=()):
+    return spark.range(n).select(F.col("id").cast("string").alias("k"), F.when(F.col("id").isin(list(changed)), F.lit(-1)).otherwise(F.col("id")).alias("v"))
+
+
+def result(df):
+    got = [(r.k, r.v) for r in df.collect()]
+    assert len(got) == len(set(got))
+    return dict(got)
+
+
+def test_another_number_of_partitions_version_or_schema_rebuilds(spark, tmp_path):
+    state, want = f"file://{tmp_path}/s", {str(i): i for i in range(1000)}
+    assert result(inc.refresh({"t": table_of(spark)}, ["k"], count_by, state, 16)[0]) == want
+    out, parts = inc.refresh({"t": table_of(spark)}, ["k"], count_by, state, 8)
+    assert result(out) == want and len(parts) == 8
+    out, parts = inc.refresh({"t": table_of(spark)}, ["k"], count_by, state)  # the committed number
+    assert result(out) == want and parts == []
+    out, parts = inc.refresh({"t": table_of(spark)}, ["k"], times_two, state)
+    assert result(out) == {k: 2 * v for k, v in want.items()} and len(parts) == 8
+    out, parts = inc.refresh({"t": table_of(spark).withColumn("w", F.lit(1))}, ["k"], times_two, state)
+    assert result(out) == {k: 2 * v for k, v in want.items()} and len(parts) == 8
+    assert len([p for p in (tmp_path / "s").iterdir() if p.name.startswith("result-")]) == 1
+    assert inc.code_version(count_by) != inc.code_version(times_two)
+
+
+def test_few_changes_touch_few_partitions(spark, tmp_path):
+    state = f"file://{tmp_path}/s"
+    inc.refresh({"t": table_of(spark)}, ["k"], count_by, state)
+    out, parts = inc.refresh({"t": table_of(spark, changed=range(10))}, ["k"], count_by, state)
+    assert 0 < len(parts) <= 10 < inc.LEAST and result(out) == {str(i): -1 if i < 10 else i for i in range(1000)}
+    near = table_of(spark).withColumn("p", (F.col("v") / 50).cast("int"))
+    seen = near.where("p = 3").select(inc.partition_of(["p", "k"], 256, ["p"]).alias("x")).distinct().count()
+    assert seen <= inc.SPREAD
+
+
+@pytest.mark.parametrize("step", ["write", "_commit", "delete"])
+def test_a_stop_between_any_two_writes(spark, tmp_path, monkeypatch, step):
+    state = f"file://{tmp_path}/s"
+    inc.refresh({"t": table_of(spark)}, ["k"], count_by, state, 16)
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    def compute(parts):
+        if step == "write":
+            stop()
+        return count_by(parts)
+
+    with monkeypatch.context() as m:
+        if step == "_commit":
+            m.setattr(inc, "_commit", stop)
+        elif step == "delete":
+            m.setattr(inc._Folder, "delete", stop)
+        with pytest.raises(RuntimeError):
+            inc.refresh({"t": table_of(spark, changed=[1, 2])}, ["k"], compute, state, 16, version=inc.code_version(count_by))
+    # the inputs are again what the last commit knows: what was replaced since is computed anew
+    out, parts = inc.refresh({"t": table_of(spark)}, ["k"], count_by, state, 16)
+    assert result(out) == {str(i): i for i in range(1000)} and parts
+    assert inc.refresh({"t": table_of(spark)}, ["k"], count_by, state, 16)[1] == []
+
+
 def test_empty_tables(spark, tmp_path):
     f, w, r = tables(spark, *BASE)
     out, _ = inc.pending_actions(f.limit(0), w.limit(0), r.limit(0), f"file://{tmp_path}/s", 4)
