@@ -3,7 +3,9 @@
 Vectors are routed to shards by spherical k-means centroids (fitted on a bounded sample; every vector
 is indexed). Each shard builds a hierarchical navigable small-world graph, kept as flat neighbour
 arrays per layer, and answers the queries routed to it by batched beam search; the shards' results
-are merged. Equal vectors are one node, so a group of copies never fills a shard.
+are merged. Equal vectors are one node, so a group of copies never fills a shard. Shards have a size
+bound, so the work of a vector doesn't grow with the table, but for the shards it asks. How many those
+are is measured on the sample: as many as hold the share `routing` of true neighbours.
 """
 
 from __future__ import annotations
@@ -23,12 +25,20 @@ DIMENSIONS = 64
 K = 10
 #: Vectors of the sample the centroids are fitted on, at most.
 SAMPLE = 30_000
+#: Vectors of the sample that tell how far a query must go, and the share of true neighbours that its shards hold.
+CALIBRATION, ROUTING = 1_500, 0.97
+#: Vectors that the shards a query asks hold at least, if there are as many.
+ENOUGH = 500
 #: Vectors of a shard on average, and shards at most.
-SHARD, MAX_SHARDS = 2_500, 4_096
+SHARD, MAX_SHARDS = 5_000, 4_096
 #: A shard above this many times the average is split by salt; its queries visit all its parts.
 CROWDED = 6
-LINKS, CANDIDATES, RATIO = 12, 20, 16
-QUERY_BLOCK = 1_024
+#: Links that a node chooses (it has twice as many at most), candidates for them, nodes of a layer to one of the next.
+LINKS, CANDIDATES, RATIO = 16, 24, 16
+#: Nodes of a beam whose links are followed at once.
+FAN = 3
+#: Queries of a block, and marks of nodes seen by a block (bytes), at most.
+QUERY_BLOCK, MARKS = 1_024, 1 << 26
 
 _VECTOR = "digest binary, vector binary"
 
@@ -50,26 +60,47 @@ def _digests(x: np.ndarray) -> list[bytes]:
     return [xxhash.xxh3_128_digest(row) for row in np.ascontiguousarray(x + np.float32(0))]
 
 
-def fit_centroids(vectors: DataFrame, shards: int, total: int, sample: int = SAMPLE, rounds: int = 6) -> np.ndarray:
-    """Spherical k-means centroids from at most `sample` rows of the smallest hash; the rest doesn't matter for them."""
+def fit_centroids(vectors: DataFrame, shards: int, total: int, routing: float = ROUTING, k: int = K, sample: int = SAMPLE, rounds: int = 10) -> tuple[np.ndarray, np.ndarray, float]:
+    """(centroids, share, margin) from at most `sample` rows of the smallest hash.
+
+    Spherical k-means; `share` of the different vectors is nearest to each centroid. A query asks the
+    shards whose centroid is at most `margin` less similar than its best one: the least margin by which
+    CALIBRATION vectors reach the share `routing` of their k true neighbours within the sample. There
+    neighbours are farther apart than in the whole table, so the whole table's are reached rather more.
+    """
     rows = lowest(vectors.select("id", "embedding").where("id is not null and embedding is not null"), F.xxhash64("id"), sample, total)
     table = rows.toArrow().combine_chunks()
     batches = table.to_batches()
     x = np.concatenate([_usable(b)[1] for b in batches]) if batches else np.empty((0, DIMENSIONS), np.float32)
     if not len(x):
-        return np.zeros((1, DIMENSIONS), np.float32)
+        return np.zeros((1, DIMENSIONS), np.float32), np.ones(1), 0.0
     rng = np.random.default_rng(7)
-    c = x[rng.permutation(len(x))[: min(shards, len(x))]]
+    x = np.unique(x, axis=0)
+    x = x[rng.permutation(len(x))]
+    c, best = x[:1], x @ x[0]
+    for _ in range(min(shards, len(x)) - 1):  # far from the ones there are, at random
+        away = np.maximum(1 - best, 1e-9).astype(np.float64)
+        pick = x[rng.choice(len(x), p=away / away.sum())]
+        c, best = np.vstack([c, pick]), np.maximum(best, x @ pick)
     for _ in range(rounds):
         home = (x @ c.T).argmax(1)
-        total = np.zeros_like(c)
-        np.add.at(total, home, x)
-        norm = np.sqrt((total * total).sum(1, keepdims=True))
-        c = np.where(norm > 0, total / np.maximum(norm, 1e-12), c).astype(np.float32)
-    return c
-
-
-def _route(centroids: np.ndarray, probes: int, margin: float, parts: dict[int, int], every: int | None):
+        sums = np.zeros_like(c)
+        np.add.at(sums, home, x)
+        norm = np.sqrt((sums * sums).sum(1, keepdims=True))
+        c = np.where(norm > 0, sums / np.maximum(norm, 1e-12), c).astype(np.float32)
+    home = (x @ c.T).argmax(1)
+    ask = x[:CALIBRATION]
+    s = ask @ x.T
+    s[np.arange(len(ask)), np.arange(len(ask))] = -2
+    n = max(0, min(k, len(x) - 1))
+    true = np.argpartition(-s, n - 1, axis=1)[:, :n] if n else np.empty((len(ask), 0), np.int64)
+    near = ask @ c.T
+    need = near.max(1)[:, None] - np.take_along_axis(near, home[true], 1)
+    margin = float(np.quantile(need, routing)) if need.size else 0.0
+    return c, np.bincount(home, minlength=len(c)) / len(x), margin + 1e-6
+
+
+def _route(centroids: np.ndarray, margin: float, sizes: np.ndarray, parts: dict[int, int], every: int | None):
     """Rows (shard, home, digest, vector) for the index and the queries; equal vectors of a batch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,21 +116,25 @@ def _route(centroids: np.ndarray, probes: int, margin: float, parts: dict[int, i
                 asks = np.fromiter((d in wanted for d in digests), bool, len(digests))
             sims = x[keep] @ centroids.T
             home = sims.argmax(1)
-            n = min(probes, sims.shape[1])
-            near = np.argpartition(-sims, n - 1, axis=1)[:, :n] if n < sims.shape[1] else np.broadcast_to(np.arange(n), sims.shape)
-            best = sims[np.arange(len(keep)), home]
+            near = sims >= sims.max(1, keepdims=True) - margin
+            lonely = np.flatnonzero((near * sizes).sum(1) < ENOUGH)
+            if len(lonely):  # small shards: on to the next ones until they hold enough vectors
+                order = np.argsort(-sims[lonely], axis=1)
+                held = np.cumsum(sizes[order], axis=1) - sizes[order]
+                more = np.zeros((len(lonely), sims.shape[1]), bool)
+                np.put_along_axis(more, order, held < ENOUGH, 1)
+                near[lonely] |= more
             out: tuple[list, list, list, list] = ([], [], [], [])
             for r, i in enumerate(keep):
                 d, v, h = digests[i], x[i].tobytes(), int(home[r])
-                own = d[0] % parts.get(h, 1)
+                own = int.from_bytes(d[:4], "little") % parts.get(h, 1)
                 visits = {(h, own): 1 + 2 * bool(asks[i])}  # 1: indexed here, 2: asked here
                 if asks[i]:
-                    for s in near[r]:
-                        if sims[r, s] >= best[r] - margin:
-                            for p in range(parts.get(int(s), 1)):
-                                visits[int(s), p] = visits.get((int(s), p), 0) | 2
+                    for s in np.flatnonzero(near[r]).tolist():
+                        for p in range(parts.get(s, 1)):
+                            visits[s, p] = visits.get((s, p), 0) | 2
                 for (s, p), role in visits.items():
-                    out[0].append(s << 8 | p)
+                    out[0].append(s << 32 | p)
                     out[1].append(role)
                     out[2].append(d)
                     out[3].append(v)
@@ -111,99 +146,115 @@ def _route(centroids: np.ndarray, probes: int, margin: float, parts: dict[int, i
 
 def _nearest(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The n nearest other rows of each row of x, in blocks: (rows, similarities), nearest first."""
-    n = min(n, len(x) - 1)
+    n = max(0, min(n, len(x) - 1))
     near, sim = np.empty((len(x), n), np.int32), np.empty((len(x), n), np.float32)
-    step = min(2048, max(64, (1 << 22) // len(x)))  # a block of products stays below some 16 MB
-    for i in range(0, len(x), step):
+    step = min(2048, max(64, (1 << 22) // max(len(x), 1)))  # a block of products stays below some 16 MB
+    for i in range(0, len(x) if n else 0, step):
         s = x[i : i + step] @ x.T
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -2
-        top = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < len(x) - 1 else np.argsort(-s, axis=1)[:, :n]
+        top = np.argpartition(-s, n - 1, axis=1)[:, :n]
         val = np.take_along_axis(s, top, 1)
         order = np.argsort(-val, axis=1, kind="stable")
         near[i : i + len(s)], sim[i : i + len(s)] = np.take_along_axis(top, order, 1), np.take_along_axis(val, order, 1)
     return near, sim
 
 
-def _layer(x: np.ndarray) -> np.ndarray:
-    """Flat neighbour array of one layer: diverse links, both ways, padded by -1."""
-    n = len(x)
-    if n < 2:
-        return np.full((n, 1), -1, np.int32)
-    near, sim = _nearest(x, CANDIDATES)
-    m = near.shape[1]
-    # a candidate is linked unless it is nearer to a linked one than to the node itself
+def _links(x: np.ndarray, near: np.ndarray, sim: np.ndarray) -> np.ndarray:
+    """Flat neighbour array of one layer from its nodes' candidates: diverse links, both ways, padded by -1."""
+    n, m = near.shape
     kept = np.zeros((n, m), bool)
     for i in range(0, n, 2048):
         v = x[near[i : i + 2048]]
         among = v @ v.transpose(0, 2, 1)
         k, own = kept[i : i + 2048], sim[i : i + 2048]
+        count = np.zeros(len(k), np.int64)
         for j in range(m):
+            # a candidate is linked unless it is nearer to a linked one than to the node itself; the closest always are
             blocked = ((among[:, j, :j] > own[:, j, None]) & k[:, :j]).any(1)
-            k[:, j] = ~blocked & (k[:, :j].sum(1) < LINKS)
-    kept[:, :4] = True  # the closest stay, as in the variant that keeps pruned links
+            k[:, j] = (count < LINKS) & (~blocked | (j < 4))
+            count += k[:, j]
     a, j = np.nonzero(kept)
     b, s = near[a, j], sim[a, j]
     src, dst, val = np.r_[a, b], np.r_[b, a], np.r_[s, s]
     _, one = np.unique(src.astype(np.int64) * n + dst, return_index=True)
     src, dst, val = src[one], dst[one], val[one]
-    order = np.lexsort((-val, src))
-    src, dst = src[order], dst[order]
+    best = np.lexsort((-val, src))
+    src, dst = src[best], dst[best]
     place = np.arange(len(src)) - np.searchsorted(src, src)
     fits = place < 2 * LINKS
-    flat = np.full((n, min(2 * LINKS, int(place.max()) + 1)), -1, np.int32)
+    flat = np.full((n, 2 * LINKS), -1, np.int32)
     flat[src[fits], place[fits]] = dst[fits]
     return flat
 
 
 class Graph:
-    """A hierarchical graph over unit vectors `x`: layer 0 holds all, each next one in RATIO of the one below."""
+    """A hierarchical navigable small-world graph over unit vectors, in flat neighbour arrays.
+
+    The nodes are put in a random order; layer 0 holds them all, each next layer the first one in
+    RATIO of the one below, so that a node has one number in all its layers. The candidates of a
+    node's links are its nearest in the layer, from block products: a shard is of bounded size, and
+    there they cost less than a search at the time of insertion and miss none. The candidates of
+    layer 0 are also the answer for a query that is itself a node.
+    """
 
     def __init__(self, x: np.ndarray, seed: int = 11) -> None:
-        self.x = x
-        rank = np.random.default_rng(seed).permutation(len(x))  # the nodes of the upper layers, at random
-        self.nodes, size = [np.arange(len(x))], len(x)
-        while size > 4 * RATIO:
-            size = math.ceil(size / RATIO)
-            self.nodes.append(np.sort(rank[:size]))
-        self.links = [_layer(x[nodes]) for nodes in self.nodes[:-1]] or [_layer(x)]
-
-    def search(self, q: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(nodes, similarities) of the k best found for each query, padded by -1 and -2."""
-        out = [self._block(q[i : i + QUERY_BLOCK], k, width) for i in range(0, len(q), QUERY_BLOCK)]
-        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-
-    def _block(self, q: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-        top = self.nodes[-1]
-        entry = top[np.argsort(-(q @ self.x[top].T), axis=1)[:, :2]]
-        for layer in range(len(self.nodes) - 2, -1, -1):
-            nodes = self.nodes[layer]
-            found, sims = self._beam(layer, nodes, q, np.searchsorted(nodes, entry), width if layer == 0 else 4)
-            entry = np.where(found[:, :2] >= 0, nodes[found[:, :2]], entry[:, : found[:, :2].shape[1]])
-        if len(self.nodes) == 1:
-            s = q @ self.x.T
-            found = np.argsort(-s, axis=1)[:, :k]
-            return found, np.take_along_axis(s, found, 1)
-        return found[:, :k], sims[:, :k]
-
-    def _beam(self, layer: int, nodes: np.ndarray, q: np.ndarray, entry: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        x, links = self.x if layer == 0 else self.x[nodes], self.links[layer]
-        n = len(q)
-        seen = np.zeros((n, len(nodes) + 1), bool)  # the last column takes the padding
+        self.order = np.random.default_rng(seed).permutation(len(x)).astype(np.int32)
+        self.place = np.empty_like(self.order)
+        self.place[self.order] = np.arange(len(x), dtype=np.int32)
+        self.x = np.ascontiguousarray(x[self.order])
+        sizes = [len(x)]
+        while sizes[-1] > 4 * RATIO:
+            sizes.append(math.ceil(sizes[-1] / RATIO))
+        self.near, self.sims = _nearest(self.x, CANDIDATES)
+        self.links = [_links(self.x, self.near, self.sims)] + [_links(self.x[:n], *_nearest(self.x[:n], CANDIDATES)) for n in sizes[1:]]
+
+    def _descend(self, upper: list[np.ndarray], q: np.ndarray) -> np.ndarray:
+        """Entry nodes for the layer below `upper` (from below to the top)."""
+        if not upper:
+            return np.zeros((len(q), 1), np.int32)
+        top = len(upper[-1])
+        entry = np.argsort(-(q @ self.x[:top].T), axis=1)[:, :2].astype(np.int32)
+        for links in upper[-2::-1]:
+            entry = self._beam(links, q, entry, 4)[0][:, :2]
+        return entry
+
+    def search(self, q: np.ndarray, k: int, width: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of x, similarities) of the k best found for each query, padded by -1 and -2.
+
+        `own`: the row of x that is the query itself, -1 without one; it isn't among its results, which
+        are exact as far as CANDIDATES reaches.
+        """
+        near, sims = np.full((len(q), k), -1, np.int64), np.full((len(q), k), -2, np.float32)
+        inside = np.zeros(len(q), bool) if own is None or k > CANDIDATES else own >= 0
+        at = self.place[own[inside]] if inside.any() else np.empty(0, np.int32)
+        m = min(k, self.near.shape[1])
+        near[inside, :m], sims[inside, :m] = self.order[self.near[at, :m]], self.sims[at, :m]
+        others = np.flatnonzero(~inside)
+        step = max(64, min(QUERY_BLOCK, MARKS // max(len(self.x), 1)))
+        for i in range(0, len(others), step):
+            rows = others[i : i + step]
+            found, s = self._beam(self.links[0], q[rows], self._descend(self.links[1:], q[rows]), max(width, k))
+            near[rows], sims[rows] = np.where(found[:, :k] >= 0, self.order[found[:, :k]], -1), s[:, :k]
+        return near, sims
+
+    def _beam(self, links: np.ndarray, q: np.ndarray, entry: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best `width` nodes that a beam of that width reaches from `entry` in one layer, best first."""
+        n, x = len(q), self.x
+        seen = np.zeros((n, len(links) + 1), bool)  # the last column takes the padding
         seen[:, -1] = True
-        beam = np.full((n, width), -1, np.int32)
-        sims = np.full((n, width), -2, np.float32)
+        beam, sims = np.full((n, width), -1, np.int32), np.full((n, width), -2, np.float32)
         done = np.ones((n, width), bool)
-        e = entry.shape[1]
+        e = min(entry.shape[1], width)
+        entry = entry[:, :e]
         if e > 1:
             entry = np.where((entry[:, :, None] == entry[:, None, :]).argmax(2) == np.arange(e), entry, -1)
         beam[:, :e], done[:, :e] = entry, entry < 0
         sims[:, :e] = np.where(entry >= 0, np.einsum("qmd,qd->qm", x[entry], q), -2)
         np.put_along_axis(seen, entry, True, 1)
-        seen[:, -1] = True
         active = np.arange(n)
         while len(active):
             rows = np.arange(len(active))[:, None]
-            pick = np.argsort(np.where(done[active], 3, -sims[active]), axis=1)[:, :2]
+            pick = np.argsort(np.where(done[active], 3, -sims[active]), axis=1)[:, : min(FAN, width)]
             ask = np.where(done[active][rows, pick], -1, beam[active][rows, pick])
             done[active[:, None], pick] = True
             new = np.where(ask[:, :, None] >= 0, links[ask], -1).reshape(len(active), -1)
@@ -211,7 +262,9 @@ class Graph:
             new = np.sort(new, axis=1)
             new[:, 1:][new[:, 1:] == new[:, :-1]] = -1
             seen[active[:, None], new] = True
-            s = np.where(new >= 0, np.einsum("qmd,qd->qm", x[new], q[active]), -2).astype(np.float32)
+            r, c = np.nonzero(new >= 0)
+            s = np.full(new.shape, -2, np.float32)
+            s[r, c] = np.einsum("nd,nd->n", x[new[r, c]], q[active[r]])
             all_s, all_b = np.concatenate([sims[active], s], 1), np.concatenate([beam[active], new], 1)
             all_d = np.concatenate([done[active], new < 0], 1)
             best = np.argpartition(-all_s, width - 1, axis=1)[:, :width]
@@ -235,7 +288,8 @@ def _search(k: int, width: int, least: float):
         index, queries = np.fromiter(home.values(), np.int64), np.fromiter(asked.values(), np.int64)
         if not len(index) or not len(queries):
             return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary()), "sim": pa.array([], pa.float64())})
-        found, sims = Graph(x[index]).search(x[queries], k + 1, width)
+        at = {digests[i]: n for n, i in enumerate(index)}
+        found, sims = Graph(x[index]).search(x[queries], k, width, np.fromiter((at.get(digests[i], -1) for i in queries), np.int64, len(queries)))
         row, col = np.nonzero((found >= 0) & (sims >= least - 1e-4))
         i, j = queries[row], index[found[row, col]]
         exact = np.einsum("nd,nd->n", x[i].astype(np.float64), x[j].astype(np.float64))
@@ -252,15 +306,16 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def nearest(
-    vectors: DataFrame, k: int = K, least: float = -1.0, probes: int | None = 2, margin: float = 0.05, width: int = 16,
+    vectors: DataFrame, k: int = K, least: float = -1.0, routing: float = ROUTING, width: int = 24,
     every: int | None = None, sample: int = SAMPLE, shard: int = SHARD,
 ) -> DataFrame:
     """(id, neighbour, similarity): for each row of `vectors` (id BIGINT, embedding ARRAY) the k most
     similar rows with another id, of those with a cosine similarity of at least `least`.
 
-    Approximate: a query visits its own shard and up to `probes` - 1 others whose centroid is within
-    `margin` of its best (`probes` None: all shards), with a beam of `width`. With `every`, only the
-    ids divisible by it ask; all rows are indexed. Ties go to the smaller id.
+    Approximate: a query asks its own shard, whose answer is exact, and by a beam of `width` the others
+    that are needed for the share `routing` of true neighbours (1: as many as any of the calibration
+    needs). With `every`, only the ids divisible by it ask; all rows are indexed. Ties go to the
+    smaller id.
 
     NULL, too short or long, all-zero, NaN-bearing and infinite vectors and NULL ids take no part;
     vectors needn't have unit length. Repeated rows count once; ids with several vectors ask with each
@@ -270,15 +325,12 @@ def nearest(
     members = vectors.mapInArrow(_members, "id long, digest binary").distinct()
     total = vectors.count()
     shards = max(1, min(MAX_SHARDS, math.ceil(total / shard)))
-    centroids = fit_centroids(vectors, shards, total, sample)
-    probes, margin = (len(centroids), 3.0) if probes is None else (probes, margin)
-    parts: dict[int, int] = {}
-    if len(centroids) > 1:  # at most MAX_SHARDS rows
-        homes = vectors.mapInArrow(_route(centroids, 1, 0.0, {}, None), f"shard long, role int, {_VECTOR}").groupBy("shard").count()
-        parts = {r["shard"] >> 8: min(255, math.ceil(r["count"] / (CROWDED * shard))) for r in homes.collect() if r["count"] > CROWDED * shard}
-    routed = vectors.mapInArrow(_route(centroids, probes, margin, parts, every), f"shard long, role int, {_VECTOR}")
+    centroids, share, margin = fit_centroids(vectors, shards, total, routing, k, sample)
+    # at most MAX_SHARDS numbers; the sample tells which shards are crowded
+    parts = {i: math.ceil(n / (CROWDED * shard)) for i, n in enumerate(share * total) if n > CROWDED * shard}
+    routed = vectors.mapInArrow(_route(centroids, margin, share * total, parts, every), f"shard long, role int, {_VECTOR}")
     # a task's share stays the same as the table grows: a few shards each
-    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(len(centroids) / 2))
+    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(centroids) + sum(parts.values()))
     links = routed.repartition(tasks, "shard").groupBy("shard").applyInArrow(_search(k, max(width, k + 2), least), "a binary, b binary, sim double")
     # the k smallest other ids of a vector are all of it that any list can hold
     heads = _heads(members, k)
@@ -303,3 +355,40 @@ def _heads(members: DataFrame, k: int) -> DataFrame:
     cut = lambda df, *by: df.groupBy(*by).agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"))
     one = cut(salted, "digest", "salt")
     return cut(one.select("digest", F.explode("ids").alias("id")), "digest")
+
+
+def recall(found: DataFrame, vectors: DataFrame, k: int, every: int) -> DataFrame:
+    """(asked, recall) of `found` against brute force, for the ids divisible by `every` against all rows.
+
+    The asking vectors are a stated set, gathered by groups of QUERY_BLOCK; each group meets all rows
+    as matrix products of Arrow batches, and a task keeps k a query. Ties count as found.
+    """
+    vectors = vectors.select(F.col("id").cast("long").alias("id"), "embedding").distinct()
+    asking = vectors.where(F.col("id") % every == 0)
+    got = {}
+    for b in asking.toArrow().combine_chunks().to_batches():
+        rows, x = _usable(b)
+        got |= {int(i): v for i, v in zip(b.column("id").take(pa.array(rows)).to_pylist(), x)}
+    ids = np.fromiter(got, np.int64, len(got))
+    q = np.stack([got[i] for i in ids.tolist()]) if got else np.empty((0, DIMENSIONS), np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, who = np.full((len(q), k), -2.0), np.full((len(q), k), -1, np.int64)
+        for b in batches:
+            rows, x = _usable(b)
+            own = b.column("id").to_numpy()[rows]
+            for i in range(0, len(q), QUERY_BLOCK):
+                s = q[i : i + QUERY_BLOCK].astype(np.float64) @ x.astype(np.float64).T
+                s[ids[i : i + QUERY_BLOCK, None] == own] = -2
+                all_s = np.concatenate([best[i : i + QUERY_BLOCK], s], 1)
+                all_w = np.concatenate([who[i : i + QUERY_BLOCK], np.broadcast_to(own, s.shape)], 1)
+                top = np.argpartition(-all_s, k - 1, axis=1)[:, :k]
+                best[i : i + QUERY_BLOCK], who[i : i + QUERY_BLOCK] = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_w, top, 1)
+        r, c = np.nonzero(who >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(who[r, c]), pa.array(best[r, c])], names=["id", "neighbour", "similarity"])
+
+    true = vectors.mapInArrow(run, "id long, neighbour long, similarity double")
+    true = true.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity")).groupBy("id").agg(F.slice(F.sort_array(F.collect_list("similarity"), False), 1, k).alias("s"))
+    mine = found.groupBy("id").agg(F.collect_list("similarity").alias("f"))
+    hits = F.expr("size(filter(coalesce(f, array()), x -> x >= element_at(s, -1) - 1e-6))")
+    return true.join(mine, "id", "left").agg(F.count(F.lit(1)).alias("asked"), F.round(F.sum(F.least(hits, F.size("s"))) / F.sum(F.size("s")), 4).alias("recall"))

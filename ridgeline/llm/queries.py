@@ -56,16 +56,22 @@ def _chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks of a similarity of at least 0.90, one among the 10 most similar of the other."""
-    near = neighbours.nearest(_chunk_vectors(spark, sf_dir), k=10, least=0.9, width=12)
+    near = neighbours.nearest(_chunk_vectors(spark, sf_dir), k=10, least=0.9)
     return near.select(F.least("id", "neighbour").alias("chunk_a"), F.greatest("id", "neighbour").alias("chunk_b")).distinct()
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 most similar chunks of every chunk whose id is divisible by 50, against all rows."""
-    near = neighbours.nearest(_chunk_vectors(spark, sf_dir), k=10, probes=None, width=32, every=50, shard=20_000)
+    """The 10 most similar chunks of every chunk, by the settings of p5_found."""
+    near = neighbours.nearest(_chunk_vectors(spark, sf_dir), k=10)
     return near.select(F.col("id").alias("chunk_id"), "neighbour", F.round("similarity", 6).alias("similarity"))
 
 
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(asked, recall): the share of the true ten nearest that p5_neighbours gives, for the ids divisible by 50 against all rows."""
+    vectors = _chunk_vectors(spark, sf_dir)
+    return neighbours.recall(neighbours.nearest(vectors, k=10, every=50), vectors, 10, 50)
+
+
 def p3_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk's text less what an earlier chunk has, with the intervals removed."""
     out = spans.without_repeats(_chunk_texts(spark, sf_dir))
@@ -141,6 +147,7 @@ QUERIES = {
     "p4_validation": p4_validation,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
+    "p5_recall": p5_recall,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_ids": p7_ids,

@@ -17,7 +17,11 @@ def test_graph_recall():
     found, _ = g.search(x[:300], 11, 64)
     s = x[:300] @ x.T
     want = np.argsort(-s, axis=1)[:, :11]
-    assert len(g.nodes) > 2 and np.mean([len(set(a) & set(b)) / 11 for a, b in zip(found, want)]) >= 0.9
+    assert len(g.links) > 2 and np.mean([len(set(a) & set(b)) / 11 for a, b in zip(found, want)]) >= 0.9
+    near, sims = g.search(x[:300], 10, 16, np.arange(300))  # a node's own answer is exact and without itself
+    assert [set(r) for r in near] == [set(r[1:]) for r in want] and (np.diff(sims) <= 0).all()
+    small = nb.Graph(x[:1])
+    assert small.search(x[:2], 3, 4)[0].tolist() == [[0, -1, -1], [0, -1, -1]]
 
 
 def test_recall_against_brute_force(spark):
@@ -33,10 +37,27 @@ def test_recall_against_brute_force(spark):
     got = {(r.id, r.neighbour) for r in nb.nearest(df, 10, 0.9, shard=200).collect()}
     assert got <= near and len(got) >= 0.95 * len(near) > 100
     asked = {}
-    for r in nb.nearest(df, 10, probes=None, width=48, every=50, shard=400).collect():
+    for r in nb.nearest(df, 10, width=48, every=50, shard=150).collect():
         asked.setdefault(r.id, set()).add(r.neighbour)
     assert asked.keys() == set(range(0, 1500, 50))
-    assert np.mean([len(asked[i] & set(np.argsort(-s[i])[:10].tolist())) / 10 for i in asked]) >= 0.9
+    share = np.mean([len(asked[i] & set(np.argsort(-s[i])[:10].tolist())) / 10 for i in asked])
+    assert share >= 0.9
+    told = nb.recall(nb.nearest(df, 10, width=48, every=50, shard=150), df, 10, 50).first()
+    assert told.asked == 30 and abs(told.recall - share) < 1e-3
+
+
+def test_crowded_shards_are_split(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(64)
+    x = np.vstack([base + rng.standard_normal((900, 64)) * 0.3, rng.standard_normal((100, 64))])
+    df = frame(spark, x)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    got = {}
+    for r in nb.nearest(df, 10, shard=20, width=64).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    assert len(got) == 1000 and np.mean([len(got[i] & set(np.argsort(-s[i])[:10].tolist())) / 10 for i in got]) >= 0.9
 
 
 def test_copies_ties_and_unusable_vectors(spark):
