@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ TOKENIZERS = os.environ.get("RIDGELINE_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words of a block: bounds the memory of reassembling one.
 BLOCK_WORDS = 300_000
+#: Blocks a word is joined with in one place; more are dealt out to several.
+WORD_BLOCKS = 10_000
 # Fixed value: the public pre-token pattern of the vocabulary, with Unicode white space for Java.
 PATTERN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -109,25 +112,30 @@ def _assemble(documents: pa.Table, dictionary: pa.Table) -> pa.Table:
     return pa.table({"key": documents.column("key"), "ids": out, "n": pa.array(np.diff(bounds).astype(np.int64))})
 
 
-def _encoded(texts: DataFrame, tokenizers: str, vocabulary: str, block_words: int) -> DataFrame:
+def _encoded(texts: DataFrame, tokenizers: str, vocabulary: str, block_words: int, word_blocks: int = WORD_BLOCKS) -> DataFrame:
     """(key, ids, n) of `texts` (key BIGINT, text STRING), a row for each row."""
     path = f"{tokenizers}/{vocabulary}"
     words = spread(texts).select("key", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATTERN), F.lit(0)).alias("words"))
     blocks = staged(words.mapInArrow(_blocks(block_words), "block long, key long, places array<int>, words array<string>"), "blocks")
     dictionary = blocks.where("words is not null").select("block", F.posexplode("words").alias("place", "word"))
     ids = dictionary.select("word").distinct().mapInArrow(_encode(path), "word string, ids array<int>")
-    back = dictionary.join(ids, "word").select(F.col("block").alias("own_block"), "place", "ids")
+    # a common word stands in every block; so that it doesn't fill one task, its blocks are dealt out to parts
+    parts = 1 + blocks.where("words is not null").count() // word_blocks
+    if parts > 1:
+        dictionary = dictionary.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)))
+        ids = dictionary.select("word", "part").distinct().join(ids, "word")  # at most `parts` rows a word
+    back = dictionary.join(ids, ["word", "part"] if parts > 1 else ["word"]).select(F.col("block").alias("own_block"), "place", "ids")
     documents = blocks.where("words is null").select("block", "key", "places")
     return documents.groupBy("block").cogroup(back.groupBy("own_block")).applyInArrow(_assemble, "key long, ids array<int>, n long")
 
 
-def encode_texts(df: DataFrame, key: str, text: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, block_words: int = BLOCK_WORDS) -> DataFrame:
+def encode_texts(df: DataFrame, key: str, text: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, block_words: int = BLOCK_WORDS, word_blocks: int = WORD_BLOCKS) -> DataFrame:
     """(key, ids): the token ids of each row's text, as it stands, without special tokens.
 
     NULL and empty texts have an empty list. Rows are kept one by one: repeated rows and NULL or
     repeated keys come out as often as they come in. A text of any length lies in one block.
     """
-    return _encoded(df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), tokenizers, vocabulary, block_words).select(F.col("key").alias(key), "ids")
+    return _encoded(df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), tokenizers, vocabulary, block_words, word_blocks).select(F.col("key").alias(key), "ids")
 
 
 def count_tokens(df: DataFrame, key: str, text: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -142,19 +150,30 @@ def token_table(spark, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULAR
     return lines.where("value <> ''").select(parts[1].cast("int").alias("id"), F.unbase64(parts[0]).alias("bytes"))
 
 
-def _join_bytes(path: str):
+def _join_bytes(tokens: pa.BinaryArray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = _encoder(path).decode_bytes
         for b in batches:
-            out = [None if x is None else decode(x).decode("utf-8", "replace") for x in b.column("ids").to_pylist()]
+            ids = b.column("ids")
+            offsets = ids.offsets.to_numpy()
+            pieces = tokens.take(ids.values.slice(offsets[0], offsets[-1] - offsets[0]))
+            lists = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pieces)
+            whole = pc.binary_join(lists, b"").to_pylist()
+            out = [t.decode("utf-8", "replace") if there else None for t, there in zip(whole, ids.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.string())], names=["key", "text"])
 
     return run
 
 
 def decode_ids(df: DataFrame, key: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, text) of (key, ids). The token-byte table has a fixed size, so each worker holds it: no shuffle.
+    """(key, text) of (key, ids): the ids joined with the token-byte table, the bytes put together by position.
 
-    NULL ids give NULL, an empty list ''; bytes that aren't UTF-8 become U+FFFD.
+    The table has as many rows as the vocabulary, whatever the size of the corpus, so it goes to every
+    worker and the join is by place in an array: nothing is shuffled. NULL ids give NULL, an empty list
+    ''; bytes that aren't UTF-8 become U+FFFD. An id that the vocabulary doesn't have is an error.
     """
-    return df.select(F.col(key).cast("long").alias("key"), "ids").mapInArrow(_join_bytes(f"{tokenizers}/{vocabulary}"), "key long, text string").withColumnRenamed("key", key)
+    table = token_table(df.sparkSession, tokenizers, vocabulary).toArrow().sort_by("id")
+    if table.column("id").to_pylist() != list(range(len(table))):
+        raise ValueError(f"the ids of {vocabulary} aren't 0 to {len(table) - 1}")
+    tokens = table.column("bytes").combine_chunks()
+    tokens = tokens.chunk(0) if isinstance(tokens, pa.ChunkedArray) else tokens
+    return df.select(F.col(key).cast("long").alias("key"), "ids").mapInArrow(_join_bytes(tokens), "key long, text string").withColumnRenamed("key", key)

@@ -1,21 +1,23 @@
 """Mixing sources to target weights.
 
-Documents belong to the source they name; those that name none belong softly, by the posteriors of a
-classifier fitted on labelled ones. Projected gradient steps on the squared error of the expected
-tokens give each document a rate between 0 and its cap; the rates become whole repeats by a hash
-threshold that two histograms place so that each source's tokens meet its target.
+A classifier fitted on labelled documents gives each document posteriors over the sources (domains); a
+label is evidence, with a small chance of being wrong, and a document without one has the posteriors of
+its text. A document's rate is how often it is taken, from 0 to its cap. Projected gradient steps on the
+squared error of the domains' expected tokens fit the rates of all documents: each step is one
+distributed sum, over the distinct (label, posterior) profiles, whose documents share a rate. The rates
+become whole repeats by an order by hash, cut where the tokens of a source meet what the fit gave it.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.encoding import TOKENIZERS, VOCABULARY, count_tokens
@@ -24,122 +26,206 @@ from ridgeline.session import broadcast_if_small, lowest, staged
 #: Labelled documents the classifier is fitted on, at most (a fifth of them held out).
 SAMPLE = 4_000
 FEATURES = 1 << 14
-#: A document without a source may stand in for one of a short source from this posterior on.
+#: The chance that a document's label is wrong.
+NOISE = 1e-4
+#: A document without a label may stand in for one of a short source from this posterior on.
 CONFIDENT = 0.5
-ROUNDS = 25
-#: Most rows of `mix_plans`, and sources a classifier tells apart.
+#: Gradient steps at most; they end when no expected total moves by more than TOLERANCE of its target.
+ROUNDS, TOLERANCE = 40, 1e-7
+#: Most rows of `mix_plans`, and sources that they name; more are an error.
 MAX_PLANS, MAX_SOURCES = 50_000, 512
+#: Posteriors are kept in steps of one in so many.
+STEPS = 4_096
+#: Bits of a document's place in the order by hash, in two levels.
 _BITS = 12
 
 
-def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    found = np.fromiter((xxhash.xxh3_64_intdigest(w) % FEATURES for w in (text or "").split()), np.int64)
-    at, n = np.unique(found, return_counts=True)
-    return at.astype(np.int32), n.astype(np.float32)
-
-
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        got = [_features(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("source"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32()))], names=["source", "at", "n"]
-        )
+def _features(text: Column) -> Column:
+    """The buckets of a text's words, with repeats."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(FEATURES)).cast("int"))
 
 
 @dataclass
 class DomainModel:
-    """A multinomial model over hashed words; `temperature` and `accuracy` come from held-out documents."""
+    """A multinomial model over hashed words, the last domain being all other sources.
+
+    A text counts by its mean word, times `sharpness`, so that a long one isn't surer than its words
+    are. `sharpness` (0: texts tell nothing, the prior stands) and `accuracy` come from held-out documents.
+    """
 
     sources: list[str]
     prior: np.ndarray
     weights: np.ndarray
-    temperature: float
+    sharpness: float
     accuracy: float
 
-    def scores(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return self.prior + (self.weights[:, at] * n).sum(1)
+    def means(self, words: pa.ListArray) -> np.ndarray:
+        """(documents, domains) mean log likelihoods of lists of buckets; 0 for an empty one."""
+        offsets = words.offsets.to_numpy().astype(np.int64)
+        flat = words.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+        sums = np.zeros((len(flat) + 1, len(self.prior)))
+        np.cumsum(self.weights.T[flat], axis=0, dtype=np.float64, out=sums[1:])
+        at = offsets - offsets[0]
+        return (sums[at[1:]] - sums[at[:-1]]) / np.maximum(np.diff(at), 1)[:, None]
+
+    def posteriors(self, words: pa.ListArray, label: np.ndarray) -> np.ndarray:
+        """(documents, domains); `label` is a domain's number or -1 for a document without one."""
+        p = _softmax(self.prior + self.sharpness * self.means(words))
+        told, n = label >= 0, p.shape[1]
+        if n > 1 and told.any():
+            said = np.full((int(told.sum()), n), NOISE / (n - 1))
+            said[np.arange(len(said)), label[told]] = 1 - NOISE
+            p[told] *= said
+            p[told] /= p[told].sum(1, keepdims=True)
+        return p
+
 
-    def posterior(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        s = self.scores(at, n) / self.temperature
-        e = np.exp(s - s.max())
-        return e / e.sum()
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return np.maximum(e / e.sum(1, keepdims=True), 1e-12)
 
 
-def fit_domains(documents: DataFrame, sample: int = SAMPLE) -> DomainModel | None:
-    """The classifier, from the labelled rows with the smallest hash of doc_id; None without labelled rows.
+def fit_domains(documents: DataFrame, sources: list[str], sample: int = SAMPLE) -> DomainModel:
+    """The classifier of `sources` and the rest, from the labelled rows with the smallest hash of doc_id.
 
     Features are worked out on the executors over whole texts; the driver gets at most `sample` rows.
+    Only ids are ordered; the texts of those chosen are joined to them.
     """
     labelled = documents.where("source is not null and source <> '' and text is not null")
-    some = lowest(labelled.select("doc_id", "source", "text"), F.xxhash64("doc_id", F.lit(3)), sample, labelled.count()).select("source", "text")
-    rows = some.mapInArrow(_feature_rows, "source string, at array<int>, n array<float>").collect()
-    sources = sorted({r["source"] for r in rows})[:MAX_SOURCES]
-    if not sources:
-        return None
+    ids = labelled.select("doc_id")
+    chosen = lowest(ids, F.xxhash64("doc_id", F.lit(3)), sample, ids.count()).distinct()
+    rows = labelled.join(F.broadcast(chosen), "doc_id").select("source", _features(F.col("text")).alias("at")).toArrow().combine_chunks()  # at most `sample` ids
     number = {s: i for i, s in enumerate(sources)}
-    train = [r for i, r in enumerate(rows) if i % 5 and r["source"] in number]
-    held = [r for i, r in enumerate(rows) if not i % 5 and r["source"] in number]
-    counts, docs = np.full((len(sources), FEATURES), 0.1, np.float32), np.full(len(sources), 0.5)
-    for r in train or held:
-        counts[number[r["source"]], r["at"]] += r["n"]
-        docs[number[r["source"]]] += 1
+    truth = np.array([number.get(s, len(sources)) for s in rows.column("source").to_pylist()], np.int64)
+    n = len(sources) + 1
+    counts, docs = np.full((n, FEATURES), 0.1, np.float32), np.full(n, 0.5)
+    held = np.arange(len(truth)) % 5 == 0
+    words = pa.concat_arrays(rows.column("at").chunks) if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+    train = np.flatnonzero(~held) if (~held).any() else np.flatnonzero(held)
+    for i in train.tolist():
+        np.add.at(counts[truth[i]], words[i].values.to_numpy(zero_copy_only=False), 1)
+        docs[truth[i]] += 1
     model = DomainModel(sources, np.log(docs / docs.sum()), np.log(counts / counts.sum(1, keepdims=True)), 1.0, 0.0)
-    if held:
-        scores = np.stack([model.scores(np.asarray(r["at"], np.int64), np.asarray(r["n"])) for r in held])
-        truth = np.array([number[r["source"]] for r in held])
-        model.accuracy = float((scores.argmax(1) == truth).mean())
-
-        def loss(t: float) -> float:
-            z = scores / t
-            z = z - z.max(1, keepdims=True)
-            return float(-(z[np.arange(len(z)), truth] - np.log(np.exp(z).sum(1))).mean())
-
-        model.temperature = min((2.0**i for i in range(12)), key=loss)
+    if held.any():
+        means, own = model.means(words.filter(pa.array(held))), truth[held]
+        loss = lambda t: float(-np.log(_softmax(model.prior + t * means)[np.arange(len(own)), own]).mean())
+        model.sharpness = min((0.0, *(2.0**i for i in range(-3, 9))), key=loss)
+        model.accuracy = float(((model.prior + model.sharpness * means).argmax(1) == own).mean())
     return model
 
 
-def _soft(model: DomainModel):
+def _profile(model: DomainModel):
+    """(doc_id, source, label, profile): posteriors in steps of 1 / STEPS, 16 bits each."""
+    number = {s: i for i, s in enumerate(model.sources)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = [model.posterior(*_features(t)).tolist() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p, pa.list_(pa.float64()))], names=["doc_id", "posterior"])
+            sources = b.column("source").to_pylist()
+            label = np.array([-1 if s is None else number.get(s, len(number)) for s in sources], np.int32)
+            steps = np.rint(model.posteriors(b.column("at"), label) * STEPS).astype("<u2")
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("source"), pa.array(label), pa.array([r.tobytes() for r in steps], pa.binary())], names=["doc_id", "source", "label", "profile"]
+            )
 
     return run
 
 
-def _expected(model: DomainModel, history: list[np.ndarray]):
-    """Partial sums of the expected tokens of the soft documents, by plan and source, after the steps in `history`."""
+def _unpack(profiles: pa.Array, domains: int) -> np.ndarray:
+    p = np.frombuffer(b"".join(profiles.to_pylist()), "<u2").reshape(-1, domains).astype(np.float64)
+    return p / np.maximum(p.sum(1, keepdims=True), 1)
+
+
+@dataclass
+class _Fit:
+    """The state of a fit: `caps` (plan, label; the last for documents without one), the steps so far."""
+
+    caps: np.ndarray
+    history: list[np.ndarray]
+
+    def rates(self, p: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """(plan, document) rates after the steps, each projected to [0, cap]."""
+        cap = self.caps[:, label]
+        loose = label < 0
+        if loose.any():  # stands in for the domain it most likely is, once, where the plan asks for that
+            best = p[loose].argmax(1)
+            cap[:, loose] = np.where(p[loose].max(1) >= CONFIDENT, np.minimum(self.caps[:, best], 1), 0)
+        rate = np.zeros_like(cap)
+        for step in self.history:
+            rate = np.clip(rate + step @ p.T, 0, cap)
+        return rate
+
+
+def _sums(fit: _Fit, domains: int):
+    """Partial expected tokens by plan and domain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans, sources = history[0].shape if history else (0, 0)
-        total = np.zeros((plans, sources))
+        total = np.zeros((len(fit.caps), domains))
         for b in batches:
-            p = np.array(b.column("posterior").to_pylist()).reshape(-1, len(model.sources))[:, :sources]
-            t = b.column("tokens").to_numpy()
-            rate = _rates(p, history)
-            total += np.einsum("pn,n,ns->ps", rate, t, p)
+            p = _unpack(b.column("profile"), domains)
+            total += (fit.rates(p, b.column("label").to_numpy()) * b.column("tokens").to_numpy()) @ p
         i, j = np.indices(total.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], names=["plan", "source", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], names=["plan", "domain", "tokens"])
 
     return run
 
 
-def _rates(p: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
-    """(plan, document) rates in [0, 1] after the projected steps in `history`, each (plan, source)."""
-    rate = np.zeros((history[0].shape[0], len(p)))
-    sure = p * (p >= CONFIDENT)
-    for step in history:
-        rate = np.clip(rate + step @ sure.T, 0, 1)
-    return rate
+def _solve(profiles: DataFrame, mass: np.ndarray, caps: np.ndarray, targets: np.ndarray) -> tuple[_Fit, np.ndarray]:
+    """Projected gradient on the squared error of the expected tokens to `targets` (plan, domain).
+
+    Each domain's error is scaled by its mass, which bounds the curvature by 1, so full steps are stable.
+    Returns the fit and the expected tokens it reaches.
+    """
+    fit, expected = _Fit(caps, []), np.zeros_like(targets)
+    for _ in range(ROUNDS):
+        step = np.where(mass > 0, (targets - expected) / np.maximum(mass, 1e-9), 0)
+        if not np.abs(step).max(initial=0) > 0:
+            break
+        fit.history.append(step)
+        rows = profiles.select("label", "profile", "tokens").mapInArrow(_sums(fit, targets.shape[1]), "plan long, domain long, tokens double")
+        new = np.zeros_like(expected)
+        for r in rows.groupBy("plan", "domain").agg(F.sum("tokens").alias("t")).collect():  # plans x domains rows
+            new[r["plan"], r["domain"]] = r["t"]
+        moved, expected = np.abs(new - expected), new
+        if (moved <= TOLERANCE * np.maximum(targets, 1)).all():
+            break
+    return fit, expected
+
+
+def _rate_rows(fit: _Fit, domains: int, ids: list[int]):
+    """(plan_id, label, profile, rate) of the profiles with a rate above 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rate = fit.rates(_unpack(b.column("profile"), domains), b.column("label").to_numpy())
+            plan, row = np.nonzero(rate > 1e-9)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.asarray(ids, np.int32)[plan]), b.column("label").take(take), b.column("profile").take(take), pa.array(rate[plan, row])], names=["plan_id", "label", "profile", "rate"]
+            )
+
+    return run
 
 
-@dataclass
 class Mixture:
-    """selection (plan_id, doc_id, repeats) and shares (a row per row of the plans); `model` is the classifier, if one was needed."""
+    """A fitted mixture: the plans' rows that fall short, the classifier, and the gradient steps made for
+    documents with a source and for those without. The whole repeats are worked out when asked for:
+    selection (plan_id, doc_id, repeats) and shares (a row per row of the plans)."""
+
+    def __init__(self, short: DataFrame, model: DomainModel, steps: tuple[int, int], finish: Callable[[], tuple[DataFrame, DataFrame]]) -> None:
+        self.short, self.model, self.steps, self._finish = short, model, steps, finish
 
-    selection: DataFrame
-    shares: DataFrame
-    model: DomainModel | None
+    @functools.cached_property
+    def _done(self) -> tuple[DataFrame, DataFrame]:
+        return self._finish()
+
+    @property
+    def selection(self) -> DataFrame:
+        return self._done[0]
+
+    @property
+    def shares(self) -> DataFrame:
+        return self._done[1]
 
 
 def mix(documents: DataFrame, mix_plans: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, sample: int = SAMPLE) -> Mixture:
@@ -149,7 +235,7 @@ def mix(documents: DataFrame, mix_plans: DataFrame, tokenizers: str = TOKENIZERS
     document is taken more than max_repeats times (NULL: once; less than 0: never). A source that
     can't reach its target is taken whole, as often as allowed; documents without a source whose
     posterior for it is at least CONFIDENT then stand in, at most once each, in `stand_in_tokens`,
-    never counted in `selected_tokens`.
+    never counted in `selected_tokens`. Else a source misses its target by less than a document.
 
     NULL, NaN and negative weights count as 0; a plan whose weights are all 0 selects nothing. Sources
     without a document are unreachable if their target is above 0. Documents with NULL or empty text
@@ -157,136 +243,129 @@ def mix(documents: DataFrame, mix_plans: DataFrame, tokenizers: str = TOKENIZERS
     greatest source; documents without a doc_id are left out. Empty tables give empty results.
     """
     spark = documents.sparkSession
-    documents = documents.where("doc_id is not null")
+    plans = mix_plans.select("plan_id", "source", "weight", "max_repeats", "total_tokens").distinct().limit(MAX_PLANS + 1).collect()
+    if len(plans) > MAX_PLANS:
+        raise ValueError(f"mix_plans has more than {MAX_PLANS} rows")
+    sources = sorted({r["source"] for r in plans if r["source"]})
+    if len(sources) > MAX_SOURCES:
+        raise ValueError(f"mix_plans names more than {MAX_SOURCES} sources")
+    documents = documents.where("doc_id is not null").select("doc_id", "text", F.when(F.col("source") != "", F.col("source")).alias("source"))
+    model = fit_domains(documents, sources, sample)
+    domains = len(sources) + 1
+    told = documents.select("doc_id", "source", _features(F.col("text")).alias("at")).mapInArrow(_profile(model), "doc_id long, source string, label int, profile binary")
+    told = told.groupBy("doc_id").agg(F.max(F.struct("source", "label", "profile")).alias("d"))
     counts = count_tokens(documents, "doc_id", "text", tokenizers, vocabulary).groupBy("doc_id").agg(F.max("n_tokens").alias("tokens"))
-    sources = documents.groupBy("doc_id").agg(F.max(F.when(F.col("source") != "", F.col("source"))).alias("source"))
     sized = staged(
-        counts.join(sources, "doc_id").select("doc_id", "source", "tokens", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 64 - 2 * _BITS).cast("int").alias("u")),
+        counts.where("tokens > 0").join(told, "doc_id")
+        .select("doc_id", "tokens", "d.label", "d.profile", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 64 - 2 * _BITS).cast("int").alias("u")),
         "sized",
     )
-    plans = mix_plans.select("plan_id", "source", "weight", "max_repeats", "total_tokens").distinct().limit(MAX_PLANS + 1).collect()
-    if len(plans) > MAX_PLANS:
-        raise ValueError(f"mix_plans has more than {MAX_PLANS} rows")
+    profiles = staged(sized.groupBy("label", "profile").agg(F.sum("tokens").cast("double").alias("tokens")), "profiles")
+    have = {r["label"]: int(r["t"]) for r in sized.groupBy("label").agg(F.sum("tokens").alias("t")).collect()}  # a row a source
+    masses = [np.zeros(domains), np.zeros(domains)]
+    once = _Fit(np.ones((1, domains + 1)), [np.full((1, domains), 1e9)])
+    labelled, loose = profiles.where("label >= 0"), profiles.where("label < 0")
+    for mass, part in zip(masses, (labelled, loose)):
+        for r in part.select("label", "profile", "tokens").mapInArrow(_sums(once, domains), "plan long, domain long, tokens double").groupBy("domain").agg(F.sum("tokens").alias("t")).collect():
+            mass[r["domain"]] = r["t"]
+
     good = lambda w: 0.0 if w is None or math.isnan(w) or w < 0 else float(w)
     whole: dict[int, float] = {}
     for r in plans:
         whole[r["plan_id"]] = whole.get(r["plan_id"], 0.0) + good(r["weight"])
-    named = spark.createDataFrame(sorted({(r["source"],) for r in plans if r["source"] is not None}) or [("",)], "source string")
-    mine = sized.join(broadcast_if_small(named, MAX_PLANS), "source").where("tokens > 0")
-    # at most 2^_BITS rows a named source
-    level = mine.groupBy("source", F.shiftright("u", _BITS).alias("b")).agg(F.sum("tokens").alias("t")).collect()
-    first: dict[str, np.ndarray] = {}
-    for r in level:
-        first.setdefault(r["source"], np.zeros(1 << _BITS, np.int64))[r["b"]] = r["t"]
-    supply = {s: int(h.sum()) for s, h in first.items()}
-    target = {i: (r["total_tokens"] or 0) * good(r["weight"]) / whole[r["plan_id"]] if whole[r["plan_id"]] else 0.0 for i, r in enumerate(plans)}
-    cap = {i: 1 if r["max_repeats"] is None else max(0, r["max_repeats"]) for i, r in enumerate(plans)}
-    short = {i for i, r in enumerate(plans) if good(r["weight"]) > 0 and supply.get(r["source"], 0) * cap[i] < target[i]}
-
-    # projected gradient: the rate of a source's own documents (equal, by symmetry), and the soft documents'
-    own = {i: (min(cap[i], target[i] / supply[r["source"]]) if supply.get(r["source"]) else 0.0) for i, r in enumerate(plans)}
-    model, history, soft, stand_in = None, [], None, {}
-    # a classifier is needed only where a source is short and there are documents to stand in
-    loose = documents.where("(source is null or source = '') and text is not null and text <> ''")
-    if short and not loose.isEmpty():
-        model = fit_domains(documents, sample)
-    if model is not None:
-        soft = staged(
-            loose.select("doc_id", "text").mapInArrow(_soft(model), "doc_id long, posterior array<double>").where(F.array_max("posterior") >= CONFIDENT)
-            .join(sized.where("source is null and tokens > 0").select("doc_id", "tokens", "u"), "doc_id"),
-            "soft",
-        )
-        reach = soft.select(F.posexplode("posterior").alias("s", "p"), "tokens").where(F.col("p") >= CONFIDENT).groupBy("s").agg(F.sum(F.col("p") * F.col("tokens")).alias("t")).collect()
-        mass = {model.sources[r["s"]]: r["t"] for r in reach}
-        ids, number = sorted(whole), {s: j for j, s in enumerate(model.sources)}
-        gap = {i: target[i] - own[i] * supply.get(plans[i]["source"], 0) for i in short if mass.get(plans[i]["source"])}
-        got = {i: 0.0 for i in gap}
-        for _ in range(ROUNDS if gap else 0):
-            step = np.zeros((len(ids), len(model.sources)))
-            for i in gap:
-                s = plans[i]["source"]
-                step[ids.index(plans[i]["plan_id"]), number[s]] = (gap[i] - got[i]) / mass[s]
-            if np.abs(step).max() < 1e-3:
-                break
-            history.append(step)
-            sums = soft.select("posterior", "tokens").mapInArrow(_expected(model, history), "plan long, source long, tokens double").groupBy("plan", "source").agg(F.sum("tokens").alias("t"))
-            now = {(ids[r["plan"]], model.sources[r["source"]]): r["t"] for r in sums.collect()}
-            new = {i: now.get((plans[i]["plan_id"], plans[i]["source"]), 0.0) for i in gap}
-            if all(abs(new[i] - got[i]) < 1e-6 * max(1.0, target[i]) for i in gap):
-                break
-            got = new
-
-    # whole repeats: everyone's floor, and one more below a hash threshold
-    base, rest = {}, {}
-    for i, r in enumerate(plans):
-        base[i] = int(math.floor(own[i]))
-        rest[i] = target[i] - base[i] * supply.get(r["source"], 0) if base[i] < cap[i] and supply.get(r["source"]) and target[i] > 0 else 0.0
-        if i in short:
-            base[i], rest[i] = cap[i], 0.0
-    where = {}
-    for i, r in enumerate(plans):
-        if rest[i] > 0:
-            before = np.r_[0, np.cumsum(first[r["source"]])]
-            b = min(int(np.searchsorted(before, rest[i], side="right")) - 1, (1 << _BITS) - 1)
-            where[i] = (b, rest[i] - before[b], int(before[b]))
-    wanted = sorted({(plans[i]["source"], b) for i, (b, _, _) in where.items()})
-    second: dict[tuple[str, int], np.ndarray] = {}
-    if wanted:
-        cells = broadcast_if_small(spark.createDataFrame(wanted, "source string, b int"), MAX_PLANS)
-        for r in mine.withColumn("b", F.shiftright("u", _BITS)).join(cells, ["source", "b"]).groupBy("source", "b", F.col("u").bitwiseAND(F.lit((1 << _BITS) - 1)).alias("c")).agg(F.sum("tokens").alias("t")).collect():
-            second.setdefault((r["source"], r["b"]), np.zeros(1 << _BITS, np.int64))[r["c"]] = r["t"]
+    ids, number = sorted(whole), {s: j for j, s in enumerate(sources)}
+    line = {p: i for i, p in enumerate(ids)}
+    targets, caps = np.zeros((len(ids), domains)), np.zeros((len(ids), domains + 1))
+    target, cap = [], []
+    for r in plans:
+        total = whole[r["plan_id"]]
+        target.append((r["total_tokens"] or 0) * good(r["weight"]) / total if total else 0.0)
+        cap.append(1 if r["max_repeats"] is None else max(0, r["max_repeats"]))
+        if r["source"] in number:
+            at = line[r["plan_id"]], number[r["source"]]
+            targets[at], caps[at] = target[-1], cap[-1]
+    fit, expected = _solve(labelled, masses[0], caps, targets)
+    rest = np.where(expected < targets * (1 - 1e-6), targets - expected, 0)
+    rest[:, -1] = 0
+    second, reached = _solve(loose, masses[1], caps, rest) if ids else (_Fit(caps, []), rest)
+
     rows = []
     for i, r in enumerate(plans):
-        threshold = chosen = 0
-        if i in where:
-            b, left, chosen = where[i]
-            inner = np.r_[0, np.cumsum(second[r["source"], b])]
-            c = int(np.abs(inner - left).argmin())
-            threshold, chosen = (b << _BITS) + c, chosen + int(inner[c])
-        have = supply.get(r["source"], 0)
-        picked = base[i] * have + chosen
-        rows.append((r["plan_id"], r["source"], good(r["weight"]), cap[i], float(target[i]), have, i in short, base[i], threshold, picked))
-    total: dict[int, int] = {}
-    for r in rows:
-        total[r[0]] = total.get(r[0], 0) + r[9]
-    if soft is not None and history:
-        stand_in = {(plans[i]["plan_id"], plans[i]["source"]): got[i] for i in gap}
-    shares = spark.createDataFrame(
-        [(*r[:6], r[6], r[9], r[4] / sum(x[4] for x in rows if x[0] == r[0]) if r[4] else 0.0, r[9] / total[r[0]] if total[r[0]] else 0.0, float(stand_in.get((r[0], r[1]), 0.0))) for r in rows],
-        "plan_id int, source string, weight double, max_repeats int, target_tokens double, available_tokens long, short boolean, selected_tokens long, target_share double, actual_share double, stand_in_tokens double",
-    )
-    cut = spark.createDataFrame([(r[0], r[1], r[7], r[8]) for r in rows if r[1] is not None and (r[7] or r[8])], "plan_id int, source string, base int, threshold int")
-    selection = (
-        mine.join(broadcast_if_small(cut, MAX_PLANS), "source")
-        .select("plan_id", "doc_id", (F.col("base") + (F.col("u") < F.col("threshold")).cast("int")).alias("repeats"))
-        .where("repeats > 0")
-    )
-    if soft is not None and history:
-        selection = selection.unionByName(_stand_ins(soft, model, history, sorted(whole)))
-    return Mixture(selection, shares, model)
+        j = number.get(r["source"])
+        supply = have.get(j, 0) if j is not None else 0
+        # where the fit takes a source as often as it may, its documents' own tokens tell exactly whether that is too little
+        full = j is None or not supply or expected[line[r["plan_id"]], j] >= masses[0][j] * cap[i] * (1 - 0.01)
+        short = bool(good(r["weight"]) > 0 and full and supply * cap[i] < target[i])
+        rows.append((r["plan_id"], r["source"], good(r["weight"]), cap[i], target[i], supply, short, float(reached[line[r["plan_id"]], j]) if short and j is not None else 0.0))
+
+    def finish() -> tuple[DataFrame, DataFrame]:
+        selection, taken = _whole(sized, labelled, fit, domains, ids, caps)
+        if second.history:
+            stand_ins = loose.mapInArrow(_rate_rows(second, domains, ids), "plan_id int, label int, profile binary, rate double")
+            extra = sized.join(broadcast_if_small(stand_ins), ["label", "profile"]).where(F.col("u") < F.col("rate") * (1 << 2 * _BITS))
+            selection = selection.unionByName(extra.select("plan_id", "doc_id", F.lit(1).alias("repeats")))
+        got = [taken.get((r[0], number.get(r[1])), 0) for r in rows]
+        sums: dict[int, list[float]] = {}
+        for r, n in zip(rows, got):
+            s = sums.setdefault(r[0], [0.0, 0.0])
+            s[0] += r[4]
+            s[1] += n
+        shares = spark.createDataFrame(
+            [(*r[:7], n, r[4] / sums[r[0]][0] if r[4] else 0.0, n / sums[r[0]][1] if sums[r[0]][1] else 0.0, r[7]) for r, n in zip(rows, got)],
+            "plan_id int, source string, weight double, max_repeats int, target_tokens double, available_tokens long, short boolean, selected_tokens long, target_share double, actual_share double, stand_in_tokens double",
+        )
+        return selection, shares
 
+    short_rows = spark.createDataFrame([r[:2] for r in rows if r[6]], "plan_id int, source string")
+    return Mixture(short_rows, model, (len(fit.history), len(second.history)), finish)
 
-def _stand_ins(soft: DataFrame, model: DomainModel, history: list[np.ndarray], ids: list[int]) -> DataFrame:
-    """Soft documents chosen with their rate, by their hash."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = np.array(b.column("posterior").to_pylist()).reshape(-1, len(model.sources))
-            u = b.column("u").to_numpy() / float(1 << 2 * _BITS)
-            plan, row = np.nonzero(_rates(p, history) > u)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.asarray(ids, np.int32)[plan]), b.column("doc_id").take(pa.array(row)), pa.array(np.ones(len(row), np.int32))], names=["plan_id", "doc_id", "repeats"]
-            )
+def _whole(sized: DataFrame, labelled: DataFrame, fit: _Fit, domains: int, ids: list[int], caps: np.ndarray) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """(selection, tokens by plan and label): whole repeats of the labelled documents for their rates.
 
-    return soft.select("doc_id", "posterior", "u").mapInArrow(run, "plan_id int, doc_id long, repeats int")
+    A document is taken floor(rate) times, and once more if its key is below its source's bound. Keys
+    order the documents by hash, those with a larger remainder first; the bound is where the tokens of
+    the source come nearest to rate x tokens, found by sums over two levels of key ranges.
+    """
+    spark = sized.sparkSession
+    cap = spark.createDataFrame([(p, j, int(caps[i, j])) for i, p in enumerate(ids) for j in range(domains - 1)] or [(0, -2, 0)], "plan_id int, label int, cap int")
+    rates = labelled.mapInArrow(_rate_rows(fit, domains, ids), "plan_id int, label int, profile binary, rate double").join(broadcast_if_small(cap, MAX_PLANS), ["plan_id", "label"])
+    rates = staged(rates.withColumn("rate", F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-9, F.round("rate")).otherwise(F.col("rate"))), "rates")
+    base = F.floor("rate").cast("int")
+    key = (F.col("u") + ((1 - (F.col("rate") - base)) * (1 << 2 * _BITS)).cast("int")) / 2
+    pairs = sized.join(broadcast_if_small(rates), ["label", "profile"]).select("plan_id", "label", "doc_id", "tokens", "cap", "rate", base.alias("base"), key.cast("int").alias("key"))
+    by = ["plan_id", "label"]
+    more = pairs.where("base < cap and rate > base")
+    fitted = pairs.groupBy(*by).agg(F.sum(F.col("rate") * F.col("tokens")).alias("fitted"), F.sum(F.col("base") * F.col("tokens")).alias("sure"))
+    need = broadcast_if_small(staged(fitted.withColumn("need", F.col("fitted") - F.col("sure")), "needs"), MAX_PLANS)
+
+    def level(rows: DataFrame, cell: Column, before: Column) -> DataFrame:
+        """Cells in order of the key with the tokens before each."""
+        sums = rows.withColumn("cell", cell).groupBy(*by, "cell").agg(F.sum("tokens").alias("t"), F.max(before).alias("b"))
+        w = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return sums.withColumn("end", F.col("b") + F.sum("t").over(w)).withColumn("start", F.col("end") - F.col("t"))
+
+    first = level(more, F.shiftright("key", _BITS), F.lit(0)).join(need.select(*by, "need"), by)
+    where = broadcast_if_small(staged(first.where("start <= need and end > need").select(*by, F.col("cell").alias("top"), F.col("start").alias("base_tokens"), "need"), "cells"), MAX_PLANS)
+    inner = level(more.join(where, by).where(F.shiftright("key", _BITS) == F.col("top")), F.col("key"), F.col("base_tokens")).join(where, by)
+    # the bound goes behind the last cell that ends nearest to the need, or before the first
+    ends = inner.select(*by, (F.col("cell") + 1).alias("bound"), F.abs(F.col("end") - F.col("need")).alias("off")).unionByName(where.select(*by, F.shiftleft("top", _BITS).alias("bound"), F.abs(F.col("base_tokens") - F.col("need")).alias("off")))
+    bounds = ends.groupBy(*by).agg(F.min_by("bound", F.struct("off", "bound")).alias("bound"))
+    # a need above all there is: everyone
+    beyond = first.groupBy(*by).agg(F.max("end").alias("all"), F.max("need").alias("need")).where("need >= all").select(*by, F.lit(1 << 30).alias("bound"))
+    bounds = broadcast_if_small(staged(bounds.unionByName(beyond), "bounds"), MAX_PLANS)
+    done = pairs.join(bounds, by, "left").withColumn("repeats", F.col("base") + F.when((F.col("base") < F.col("cap")) & (F.col("rate") > F.col("base")) & (F.col("key") < F.col("bound")), 1).otherwise(0))
+    done = done.where("repeats > 0")
+    got = done.groupBy(*by).agg(F.sum(F.col("repeats") * F.col("tokens")).alias("t")).collect()  # a row a row of the plans
+    return done.select("plan_id", "doc_id", "repeats"), {(r["plan_id"], r["label"]): int(r["t"]) for r in got}
 
 
 def unreachable(mixture: Mixture) -> DataFrame:
     """(plan_id, source) of the plans' rows with a weight above 0 whose target can't be reached."""
-    return mixture.shares.where("weight > 0 and short").select("plan_id", "source")
+    return mixture.short
 
 
-def domain_report(spark: SparkSession, model: DomainModel | None) -> DataFrame:
-    """(sources, accuracy, temperature) of the classifier on its held-out documents."""
-    rows = [] if model is None else [(len(model.sources), model.accuracy, model.temperature)]
-    return spark.createDataFrame(rows, "sources int, accuracy double, temperature double")
+def fit_report(spark: SparkSession, mixture: Mixture) -> DataFrame:
+    """(sources, accuracy, sharpness, steps, stand_in_steps): the classifier on its held-out documents, and the gradient steps made."""
+    m = mixture.model
+    return spark.createDataFrame([(len(m.sources), m.accuracy, m.sharpness, *mixture.steps)], "sources int, accuracy double, sharpness double, steps int, stand_in_steps int")

@@ -89,13 +89,17 @@ def fit_centroids(vectors: DataFrame, shards: int, total: int, routing: float =
         norm = np.sqrt((sums * sums).sum(1, keepdims=True))
         c = np.where(norm > 0, sums / np.maximum(norm, 1e-12), c).astype(np.float32)
     home = (x @ c.T).argmax(1)
-    ask = x[:CALIBRATION]
-    s = ask @ x.T
-    s[np.arange(len(ask)), np.arange(len(ask))] = -2
-    n = max(0, min(k, len(x) - 1))
-    true = np.argpartition(-s, n - 1, axis=1)[:, :n] if n else np.empty((len(ask), 0), np.int64)
-    near = ask @ c.T
-    need = near.max(1)[:, None] - np.take_along_axis(near, home[true], 1)
+    n, need = max(0, min(k, len(x) - 1)), np.empty((0, 0), np.float32)
+    if n:
+        blocks = []
+        for i in range(0, min(CALIBRATION, len(x)), 250):
+            ask = x[i : min(i + 250, CALIBRATION)]
+            s = ask @ x.T
+            s[np.arange(len(ask)), np.arange(i, i + len(ask))] = -2
+            true = np.argpartition(-s, n - 1, axis=1)[:, :n]
+            near = ask @ c.T
+            blocks.append(near.max(1)[:, None] - np.take_along_axis(near, home[true], 1))
+        need = np.concatenate(blocks)
     margin = float(np.quantile(need, routing)) if need.size else 0.0
     return c, np.bincount(home, minlength=len(c)) / len(x), margin + 1e-6
 

@@ -122,6 +122,11 @@ def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).selection
 
 
+def p8_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classifier's held-out accuracy and the gradient steps made."""
+    return mixing.fit_report(spark, _mixture(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that look the same with different characters."""
     return normalise.look_alikes(table(spark, sf_dir, "documents"))
@@ -155,6 +160,7 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_shares": p8_shares,
     "p8_selection": p8_selection,
+    "p8_fit": p8_fit,
     "p9_found": p9_found,
     "p9_classes": p9_classes,
     "p9_canonical": p9_canonical,

@@ -21,28 +21,38 @@ def _bucket(x: Column) -> Column:
     return F.when(x < 0, -F.floor(magnitude * 256)).otherwise(F.floor(magnitude * 256)).cast("long")
 
 
+def _narrow(counts: DataFrame, keys: Sequence[str], cell: Column) -> DataFrame:
+    """The rows of `counts` (keys, value, _n, _before, _all) whose cell holds a middle rank.
+
+    `_before` counts the rows of the key before the cells looked at; it is carried on to the chosen cells.
+    """
+    counts = counts.withColumn("_cell", cell)
+    cells = counts.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_cn"), F.max("_before").alias("_b"), F.max("_all").alias("_a"))
+    w = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = cells.withColumn("_start", F.col("_b") + F.sum("_cn").over(w) - F.col("_cn"))
+    lo, hi = F.floor((F.col("_a") - 1) / 2), F.floor(F.col("_a") / 2)
+    middle = placed.where((F.col("_start") <= hi) & (F.col("_start") + F.col("_cn") > lo)).select(*keys, "_cell", "_start")
+    return counts.join(middle, [*keys, "_cell"]).withColumn("_before", F.col("_start")).drop("_start")
+
+
 def histogram_medians(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, median) of any group size, exact, without a group in one task.
 
-    Values are counted (map-side combined), bucketed by a monotone function with 256 buckets an
-    octave, and only the buckets that hold the middle ranks are ordered by value.
+    Equal values are counted (map-side combined). Two levels of cells narrow the values down to those
+    about the middle ranks: 256 an octave, then 65,536 equal parts of the range of each cell chosen.
+    Only the values of the parts that hold the middle ranks are ordered.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", _bucket(F.col(value)))
-    buckets = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
-    w = Window.partitionBy(*keys)
-    placed = buckets.select(
-        *keys, "_b", "_bn",
-        (F.sum("_bn").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_bn")).alias("_before"),
-        F.sum("_bn").over(w).alias("_all"),
-    )
-    lo, hi = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
-    middle = placed.where((F.col("_before") <= hi) & (F.col("_before") + F.col("_bn") > lo))
-    inside = counts.join(middle, [*keys, "_b"])
-    cum = F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    end = F.col("_before") + F.col("_cum")
-    ranked = inside.withColumn("_cum", cum).withColumn("_start", end - F.col("_n")).withColumn("_end", end)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    first = _narrow(counts.join(sizes, list(keys)).withColumn("_before", F.lit(0).cast("long")), keys, _bucket(F.col(value))).withColumnRenamed("_cell", "_first")
+    within = [*keys, "_first"]
+    ranges = first.groupBy(*within).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    part = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 65_535)).otherwise(F.lit(0)).cast("long")
+    found = _narrow(first.join(ranges, within), within, part)
+    cum = F.sum("_n").over(Window.partitionBy(*within, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = found.withColumn("_end", F.col("_before") + cum).withColumn("_start", F.col("_end") - F.col("_n"))
     pick = lambda r: F.max(F.when((F.col("_start") <= r) & (F.col("_end") > r), F.col(value)))
-    return ranked.groupBy(*keys).agg(((pick(lo) + pick(hi)) / 2).alias("median"))
+    return ranked.groupBy(*keys).agg(((pick(F.floor((F.col("_all") - 1) / 2)) + pick(F.floor(F.col("_all") / 2))) / 2).alias("median"))
 
 
 def _medians(wide: DataFrame, key: str, names: Sequence[str], buffer_rows: int) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.session import spread, staged
@@ -206,16 +206,23 @@ def shared_stretches(records: DataFrame, span: int = SPAN, gram: int = GRAM, ear
     )
 
 
-_MERGED = """aggregate(array_sort(collect_set(struct(start, end))), cast(array() as array<struct<start:int,end:int>>),
-    (acc, x) -> if(size(acc) = 0 or x.start > element_at(acc, -1).end, concat(acc, array(x)),
-        concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start as start, greatest(element_at(acc, -1).end, x.end) as end)))))"""
 _LENGTH = "aggregate(spans, 0, (n, s) -> n + s.end - s.start)"
 
 
+def _merged(stretches: DataFrame) -> DataFrame:
+    """(id, spans): the maximal intervals that a record's stretches cover together, in order. A sort of each
+    record's stretches, which may spill; no list is copied step by step."""
+    w = Window.partitionBy("id").orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = stretches.select("id", "start", "end").distinct().withColumn("_new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    islands = opens.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = islands.groupBy("id", "_island").agg(F.struct(F.min("start").alias("start"), F.max("end").alias("end")).alias("s"))
+    return whole.groupBy("id").agg(F.array_sort(F.collect_list("s")).alias("spans"))
+
+
 def shared_characters(records: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(id, spans, shared_chars): per record with a shared span, the maximal covered intervals and their length."""
-    merged = shared_stretches(records, span, gram).groupBy("id").agg(F.expr(_MERGED).alias("spans"))
-    return merged.select("id", "spans", F.expr(_LENGTH).alias("shared_chars"))
+    return _merged(shared_stretches(records, span, gram)).select("id", "spans", F.expr(_LENGTH).alias("shared_chars"))
 
 
 def without_repeats(records: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -225,7 +232,7 @@ def without_repeats(records: DataFrame, span: int = SPAN, gram: int = GRAM) -> D
     intervals, in offsets of the original text. Records without any keep their text and an empty
     `removed`. A row per distinct (id, text); NULL texts stay NULL.
     """
-    gone = shared_stretches(records, span, gram, earliest=True).where("first < id").groupBy("id").agg(F.expr(_MERGED).alias("spans")).select("id", "spans", F.expr(_LENGTH).alias("n"))
+    gone = _merged(shared_stretches(records, span, gram, earliest=True).where("first < id")).select("id", "spans", F.expr(_LENGTH).alias("n"))
     pieces = """array_join(transform(sequence(0, size(spans)), i -> substring(text,
         if(i = 0, 0, spans[i - 1].end) + 1, if(i = size(spans), length(text), spans[i].start) - if(i = 0, 0, spans[i - 1].end))), '')"""
     both = records.select("id", "text").distinct().join(gone, "id", "left")

@@ -26,11 +26,11 @@ def texts():
     return ODD + ["".join(random.choice(pool) + random.choice(["", " "]) for _ in range(random.randint(0, 80))) for _ in range(120)]
 
 
-@pytest.mark.parametrize("block", [50, 300_000])
-def test_ids_equal_the_library(spark, reference, block):
+@pytest.mark.parametrize(("block", "parts"), [(50, 10_000), (50, 3), (300_000, 10_000)])
+def test_ids_equal_the_library(spark, reference, block, parts):
     rows = [(i % 100 if i % 13 else None, t, "k", 1) for i, t in enumerate(texts())]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string, block int").repartition(3)
-    got = sorted((r.doc_id if r.doc_id is not None else -1, list(r.ids)) for r in encoding.encode_texts(df, "doc_id", block_words=block).collect())
+    got = sorted((r.doc_id if r.doc_id is not None else -1, list(r.ids)) for r in encoding.encode_texts(df, "doc_id", block_words=block, word_blocks=parts).collect())
     assert got == sorted((k if k is not None else -1, reference(t)) for k, t, *_ in rows)
     counts = sorted(r.n_tokens for r in encoding.count_tokens(df, "doc_id", block_words=block).collect())
     assert counts == sorted(len(reference(t)) for _, t, *_ in rows)

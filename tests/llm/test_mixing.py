@@ -1,7 +1,10 @@
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ridgeline.llm import encoding, mixing
 
@@ -50,8 +53,41 @@ def test_shares_are_reached(spark):
     assert m.model is not None and m.model.accuracy > 0.9
     extra = [i for p, i, _ in picked if p == 2 and source.get(i) is None]
     assert extra and shares[2, "cars"].stand_in_tokens > 0
-    report = mixing.domain_report(spark, m.model).first()
-    assert report.sources == 3 and report.accuracy == m.model.accuracy
+    report = mixing.fit_report(spark, m).first()
+    assert report.sources == 4 and report.accuracy == m.model.accuracy and report.steps >= 1 and report.stand_in_steps >= 1
+
+
+def test_soft_members_meet_targets_in_expectation():
+    """The fit alone, on documents that belong to several domains: expected totals meet the targets, rates stay in bounds."""
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.4] * 4, 500)
+    tokens = rng.integers(5, 90, 500).astype(float)
+    mass = tokens @ p
+    targets = np.array([[0.6, 0.2, 0.4, 0.3], [1.5, 1.1, 0.9, 1.2]]) * mass
+    fit, expected = mixing._Fit(np.full((2, 5), 3.0), []), np.zeros((2, 4))
+    for n in range(mixing.ROUNDS):
+        fit.history.append((targets - expected) / mass)
+        rate = fit.rates(p, np.zeros(500, int))
+        expected = (rate * tokens) @ p
+        assert rate.min() >= 0 and rate.max() <= 3
+    assert np.abs(expected / targets - 1).max() < 0.02
+
+
+def test_a_wrong_label_is_doubted(spark):
+    docs = documents()
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, tokens string")
+    model = mixing.fit_domains(df, ["bread", "cars", "cats"])
+    words = df.limit(0).union(spark.createDataFrame([(1, "cat purr paw whisker meow " * 8, "cars", ""), (2, "cat paw purr", "cats", "")], df.schema)).select(mixing._features(F.col("text")).alias("at"))
+    at = pa.concat_arrays(words.toArrow().combine_chunks().column("at").chunks)
+    p = model.posteriors(at, np.array([1, 2]))
+    assert p[1, 2] > 0.999 and p[0, 2] > p[1, 1] and np.allclose(p.sum(1), 1)
+
+
+def test_names_beyond_the_bound_are_an_error(spark):
+    d = spark.createDataFrame([(1, "x", "a")], "doc_id long, text string, source string")
+    many = spark.createDataFrame([(1, f"s{i}", 1.0, 1, 10, "") for i in range(mixing.MAX_SOURCES + 1)], PLAN)
+    with pytest.raises(ValueError, match="names more"):
+        mixing.mix(d, many)
 
 
 def test_empty_tables(spark):
