@@ -5,8 +5,10 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from ridgeline.functions import fixed
 from ridgeline.session import spread
 
 _INK = re.compile(r"\S")
+_WHITE = np.array([chr(i).isspace() for i in range(0x3001)])
 #: Natural boundaries: runs of line feeds (longer ones are stronger), sentence ends, blanks.
 _BREAK = re.compile(r"(?P<lines>\n(?:[ \t]*\n)*)|(?P<sentence>[.!?;]+[\"')\]]*[ \t]+)|(?P<word>[^\S\n]+)")
 _HEADING = re.compile(r"^#{1,6} ", re.M)
@@ -43,7 +46,9 @@ def chunk_spans(text: str, size: int = fixed.CHUNK_CHARS, overlap: int = fixed.C
     """
     if not 0 <= overlap < size:
         raise ValueError(f"overlap {overlap} must be smaller than the window {size}")
-    inks = [m.start() for m in _INK.finditer(text)]
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    # the offsets of characters that aren't white space, four bytes each
+    inks = array("I", np.flatnonzero((codes > 0x3000) | ~_WHITE[np.minimum(codes, 0x3000)]).astype(np.uint32).tobytes())
     if not inks:
         return []
     at, strength = _boundaries(text, markdown)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,36 +26,61 @@ def usable(v: Column, dimensions: int) -> Column:
     return v.isNotNull() & (F.size(v) == dimensions) & fine & F.exists(v, lambda x: x != 0)
 
 
+#: Query vectors that one search may bring.
+MAX_QUERIES = 20_000
+
+
 def knn(vectors: DataFrame, queries: DataFrame, dimensions: int = 64, n: int = 60) -> DataFrame:
     """(qid, project, chunk_id, distance): the n nearest chunks of each project to each query, exact.
 
-    queries: (qid, vector), collected (a stated query set; the vectors travel to the workers with the
-    task). Each Arrow batch is one matrix product, and each task keeps its n best per query and
-    project, so what is shuffled doesn't grow with the table but with tasks x projects x n.
+    queries: (qid, vector), a stated set bounded by MAX_QUERIES; the vectors travel to the workers with
+    the task. Each Arrow batch is one matrix product, and each task keeps its n best per query and
+    project, so what is shuffled doesn't grow with the table but with tasks x projects x n. Unusable
+    vectors take no part; repeated rows count once.
     """
-    asked = [(r["qid"], np.asarray(r["vector"], np.float64)) for r in queries.collect()]
+    asked = [(r["qid"], np.asarray(r["vector"], np.float64)) for r in queries.select("qid", "vector").limit(MAX_QUERIES + 1).collect()]
+    schema = "qid long, project string, chunk_id long, distance double"
+    if len(asked) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} query vectors; ask in several searches")
     if not asked:
-        return vectors.sparkSession.createDataFrame([], "qid long, project string, chunk_id long, distance double")
+        return vectors.sparkSession.createDataFrame([], schema)
     q = np.stack([v / np.linalg.norm(v) for _, v in asked])
     qids = np.array([i for i, _ in asked])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: pd.DataFrame | None = None
+        names: dict[str | None, int] = {}
+        best: list[tuple[np.ndarray, ...]] | None = None
         for b in batches:
             e = b.column("embedding")
-            x = e.values.to_numpy(zero_copy_only=False)[e.offsets.to_numpy()[0] : e.offsets.to_numpy()[-1]].reshape(-1, dimensions).astype(np.float64)
-            d = 1 - q @ (x / np.sqrt((x * x).sum(1, keepdims=True))).T
-            rows = pd.DataFrame({
-                "qid": np.repeat(qids, len(x)), "project": np.tile(b.column("project").to_numpy(zero_copy_only=False), len(qids)),
-                "chunk_id": np.tile(b.column("chunk_id").to_numpy(), len(qids)), "distance": d.ravel(),
-            })
-            best = rows if best is None else pd.concat([best, rows])
-            best = best.drop_duplicates(["qid", "project", "chunk_id"]).sort_values(["distance", "chunk_id"]).groupby(["qid", "project"], dropna=False).head(n)
-        if best is not None:
-            yield pa.RecordBatch.from_pandas(best, preserve_index=False)
-
-    some = vectors.where(usable(F.col("embedding"), dimensions)).select("project", "chunk_id", F.col("embedding").cast("array<float>").alias("embedding"))
-    return some.mapInArrow(run, "qid long, project string, chunk_id long, distance double").distinct()
+            offsets = e.offsets.to_numpy()
+            fit = np.flatnonzero(e.is_valid().to_numpy(zero_copy_only=False) & (np.diff(offsets) == dimensions))
+            flat = e.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+            x = flat[offsets[fit][:, None] + np.arange(dimensions)] if len(fit) else np.empty((0, dimensions))
+            with np.errstate(all="ignore"):
+                norm = np.sqrt((x * x).sum(1))
+            good = np.isfinite(x).all(1) & np.isfinite(norm) & (norm > 0)
+            rows, x = fit[good], x[good] / norm[good, None]
+            project = np.array([names.setdefault(p, len(names)) for p in b.column("project").take(pa.array(rows)).to_pylist()], np.int64)
+            ids = b.column("chunk_id").to_numpy(zero_copy_only=False)[rows]
+            d = 1 - q @ x.T
+            best = best or [(np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))] * len(q)
+            for i in range(len(q)):
+                best[i] = _keep(np.r_[best[i][0], d[i]], np.r_[best[i][1], project], np.r_[best[i][2], ids], n)
+        back = list(names)
+        for i, (d, p, c) in enumerate(best or ()):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), qids[i])), pa.array([back[k] for k in p], pa.string()), pa.array(c), pa.array(d)], names=["qid", "project", "chunk_id", "distance"])
+
+    return vectors.where("chunk_id is not null").select("project", "chunk_id", "embedding").mapInArrow(run, schema).distinct()
+
+
+def _keep(distance: np.ndarray, project: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n nearest different ids of each project."""
+    order = np.lexsort((ids, distance, project))
+    distance, project, ids = distance[order], project[order], ids[order]
+    new = np.r_[True, (ids[1:] != ids[:-1]) | (project[1:] != project[:-1]) | (distance[1:] != distance[:-1])][: len(ids)]
+    distance, project, ids = distance[new], project[new], ids[new]
+    fits = np.arange(len(project)) - np.searchsorted(project, project) < n
+    return distance[fits], project[fits], ids[fits]
 
 
 def pool(hidden: np.ndarray, mask: np.ndarray, how: str = "cls", dimensions: int | None = None) -> np.ndarray:
@@ -77,16 +101,36 @@ def hashed_ngrams(dimensions: int = 64) -> Callable[[list[str]], np.ndarray]:
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dimensions))
-        for i, t in enumerate(texts):
-            s = f" {(t or '').lower()} "
-            for j in range(len(s) - 2):
-                h = int.from_bytes(hashlib.blake2b(s[j : j + 3].encode(), digest_size=8).digest(), "little")
-                out[i, h % dimensions] += 1 if h >> 63 else -1
+        framed = [f" {(t or '').lower()} " for t in texts]
+        sizes = np.array([len(s) for s in framed], np.int64)
+        ends = np.cumsum(sizes)
+        # blocks of whole texts, so that memory follows the longest text and not the batch
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] - sizes[first] + _STRETCH, side="right")))
+            codes = np.frombuffer("".join(framed[first:last]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            owner = np.repeat(np.arange(first, last), sizes[first:last])
+            if len(codes) > 2:
+                inside = owner[2:] == owner[:-2]
+                h = _mixed((codes[:-2] * _MULTIPLIERS[0] + codes[1:-1]) * _MULTIPLIERS[1] + codes[2:])[inside]
+                cell = owner[2:][inside] * dimensions + (h % np.uint64(dimensions)).astype(np.int64)
+                sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+                out += np.bincount(cell, weights=sign, minlength=out.size).reshape(out.shape)
+            first = last
         return out / np.clip(np.linalg.norm(out, axis=1, keepdims=True), 1e-12, None)
 
     return embed
 
 
+_STRETCH = 1 << 20
+_MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(33))
+
+
 #: What is put before a text on each side; a provider may need other prefixes.
 SIDES = {"query": "", "document": ""}
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,68 +12,61 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import fixed
 
-_STRING = re.compile(r"\s*[rub]?(\"\"\"|''')(.*?)\1", re.S)
-_BLOCK = re.compile(r"/\*+(.*?)\*/", re.S)
-_COMMENT = re.compile(r"\s*(?://+|#+|--)\s?(.*)$")
-_HEADING = re.compile(r"#{1,6}\s+(\S.*?)\s*#*$")
-_CLUTTER = re.compile(r"[*/#\-=_]{2,}|<[^>]+>|https?://\S+")
-
-
-def _tidy(raw: str) -> str:
-    return " ".join(_CLUTTER.sub(" ", raw).split())
-
-
-def lead_comment(head: str) -> tuple[str, int]:
-    """(text, end) of the documentation that a source file begins with: a docstring, a block comment or comment lines."""
-    for pattern, group in ((_STRING, 2), (_BLOCK, 1)):
-        m = pattern.match(head) if pattern is _STRING else pattern.search(head)
-        if m:
-            return _tidy(m.group(group)), m.end()
-    said, end, at = [], 0, 0
-    for line in head.splitlines(keepends=True):
-        m = _COMMENT.match(line.rstrip("\r\n"))
-        if not m and (said or line.strip()):
-            break
-        at += len(line)
-        if m:
-            said.append(m.group(1))
-            end = at
-    return _tidy(" ".join(said)), end
-
-
-def lead_heading(head: str) -> tuple[str, int]:
-    """(text, end) of the first heading of a document and the paragraph under it."""
-    title, said, at = "", [], 0
-    for line in head.splitlines(keepends=True):
-        m = _HEADING.match(line.rstrip("\r\n"))
-        if title and (m or (said and not line.strip())):
-            break
-        at += len(line)
-        if m:
-            title = m.group(1)
-        elif title and line.strip():
-            said.append(line)
-    return (_tidy(" ".join([title, *said])), at) if title else ("", 0)
-
-
-def extract(text: str, lang: str) -> tuple[str | None, int]:
-    """(query, end of the block it comes from): at least 8 words, cut to 40, from the first 40 lines."""
-    head = "".join((text or "").splitlines(keepends=True)[: fixed.EVAL_HEAD_LINES])
-    said, end = (lead_heading if lang in fixed.DOC_LANGUAGES else lead_comment)(head)
-    words = said.split()
-    return (" ".join(words[: fixed.EVAL_MAX_WORDS]), end) if len(words) >= fixed.EVAL_MIN_WORDS else (None, 0)
+#: A position behind a line break of any kind.
+_BEHIND_BREAK = r"(?<=[\n\x0b\f\x1c-\x1e\x85\u2028\u2029])|(?<=\r)(?!\n)"
+#: Where documentation stands, each a pattern of everything up to its end: in a source file a string
+#: at the start, a block comment anywhere in the head, or the comment lines at the start; in prose a
+#: heading, the blank lines under it, and the paragraph there.
+_MARK = r"(?:/{2,}|\#+|--)"
+_TITLE = r"\#{1,6}\s+\S"
+_STARTING_STRING = r"(?s)\A\s*[rub]?(\"{3}|'{3})(.*?)\1"
+_BLOCK = r"(?s)\A.*?/\*+(.*?)\*/"
+_COMMENT_LINES = rf"\A(?:[^\S\n]*\n)*((?:[^\S\n]*{_MARK}[^\n]*(?:\n|\z))+)"
+_TITLE_LINE = rf"\A(?:(?!{_TITLE})[^\n]*\n)*+\#{{1,6}}\s+(\S[^\n]*?)\s*\#*[^\S\n]*(?:\n|\z)"
+_PARAGRAPH = rf"\A((?:[^\S\n]*\n)*+)((?:(?!{_TITLE})[^\n]*\S[^\n]*(?:\n|\z))*+)"
+
+
+def documentation(text: Column, lang: Column) -> Column:
+    """A struct (said, end) of the documentation that a text begins with: its words without mark-up, and
+    the number of characters up to its end. Only the first lines are looked at. All in built-in functions."""
+    head = F.array_join(F.slice(F.split(F.coalesce(text, F.lit("")), _BEHIND_BREAK), 1, fixed.EVAL_HEAD_LINES), "")
+    part = lambda of, pattern, group: F.regexp_extract(of, pattern, group)
+    block = lambda said, whole: F.struct(said.alias("raw"), F.length(whole).alias("end"))
+    lines = part(head, _COMMENT_LINES, 1)
+    source = (
+        F.when(head.rlike(_STARTING_STRING), block(part(head, _STARTING_STRING, 2), part(head, _STARTING_STRING, 0)))
+        .when(head.rlike(_BLOCK), block(part(head, _BLOCK, 1), part(head, _BLOCK, 0)))
+        .otherwise(block(F.regexp_replace(lines, rf"(?m)^\s*{_MARK}\s?", ""), part(head, _COMMENT_LINES, 0)))
+    )
+    title = part(head, _TITLE_LINE, 0)
+    under = F.substring(head, F.length(title) + 1, F.length(head))
+    prose = F.when(title != "", block(F.concat_ws(" ", part(head, _TITLE_LINE, 1), part(under, _PARAGRAPH, 2)), F.concat(title, part(under, _PARAGRAPH, 0)))).otherwise(block(F.lit(""), F.lit("")))
+    found = F.when(lang.isin(list(fixed.DOC_LANGUAGES)), prose).otherwise(source)
+    said = F.trim(F.regexp_replace(F.regexp_replace(found["raw"], "|".join(fixed.EVAL_NOISE), " "), r"(?U)\s+", " "))
+    return F.struct(said.alias("said"), found["end"].alias("end"))
 
 
 def derive_queries(files: DataFrame) -> DataFrame:
-    """(project, positive, lang, query, stripped) of (project, path, lang, text): the query, and the text without its block."""
+    """(project, positive, lang, query, stripped) of (project, path, lang, text): the first words of the
+    documentation as a query, and the text without it. Documentation of too few words gives no row."""
+    lang = F.coalesce("lang", F.lit(""))
+    found = files.withColumn("_d", documentation(F.col("text"), lang)).withColumn("_w", F.split("_d.said", " ")).where(F.size("_w") >= fixed.EVAL_MIN_WORDS)
+    return found.select(
+        "project", F.col("path").alias("positive"), "lang", F.array_join(F.slice("_w", 1, fixed.EVAL_MAX_WORDS), " ").alias("query"),
+        F.substring("text", F.col("_d.end") + 1, F.length("text")).alias("stripped"),
+    )
+
 
-    def both(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
-        got = [extract(t, l or "") for t, l in zip(texts, langs)]
-        return pd.DataFrame({"query": [q for q, _ in got], "stripped": [(t or "")[e:] for t, (_, e) in zip(texts, got)]})
+def stripped_corpus(files: DataFrame) -> DataFrame:
+    """(project, path, lang, text): every file, those that give a query without the documentation it comes from."""
+    q = derive_queries(files).select("project", F.col("positive").alias("path"), "stripped").withColumn("_found", F.lit(True))
+    both = files.select("project", "path", "lang", "text").join(q, ["project", "path"], "left")
+    return both.select("project", "path", "lang", F.when(F.col("_found"), F.col("stripped")).otherwise(F.col("text")).alias("text"))
 
-    both.__annotations__ = {"texts": pd.Series, "langs": pd.Series, "return": pd.DataFrame}
-    found = files.withColumn("_q", F.pandas_udf(both, "query string, stripped string")("text", "lang"))
-    return found.select("project", F.col("path").alias("positive"), "lang", "_q.query", "_q.stripped").where("query is not null")
+
+def overlap(code: DataFrame, docs: DataFrame) -> DataFrame:
+    """(project, path) in both of two corpora, which should be none."""
+    return code.select("project", "path").intersect(docs.select("project", "path"))
 
 
 def round_robin(df: DataFrame, by: str, order: str, limit: int) -> DataFrame:
@@ -127,11 +119,29 @@ def mcnemar(counts: DataFrame) -> DataFrame:
 
 
 def adjust(p_values: DataFrame, p: str = "p", by: str | None = None) -> DataFrame:
-    """`p_adjusted` by Benjamini and Hochberg over all rows (or each `by`): the rows are tests, thus few."""
-    w = Window.partitionBy(by) if by else Window.partitionBy(F.lit(1))
-    ranked = p_values.withColumns({"_k": F.row_number().over(w.orderBy(p, *[c for c in p_values.columns if c != p])), "_m": F.count(F.lit(1)).over(w)})
-    tail = w.orderBy("_k").rowsBetween(0, Window.unboundedFollowing)
-    return ranked.withColumn("p_adjusted", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_k")).over(tail))).drop("_k", "_m")
+    """`p_adjusted` by Benjamini and Hochberg over all rows, or each `by`; NULL p stays out and gives NULL.
+
+    Equal p are counted and placed once. The places come from sums over ranges of p and within each
+    range, so no family is ordered in one task.
+    """
+    own = [by] if by else []
+    counts = p_values.where(F.col(p).isNotNull()).groupBy(*own, p).agg(F.count(F.lit(1)).alias("_n")).withColumn("_cell", F.floor(F.col(p) * 4096).cast("int"))
+    cells = counts.groupBy(*own, "_cell").agg(F.sum("_n").alias("_cn"))
+    total = cells.groupBy(*own).agg(F.sum("_cn").alias("_m")) if own else cells.agg(F.sum("_cn").alias("_m"))
+    family = Window.partitionBy(*own) if own else Window.partitionBy()  # at most 4,097 cells a family
+    before = F.sum("_cn").over(family.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_cn")
+    placed = cells.withColumn("_before", before).select(*own, "_cell", "_before")
+    w = Window.partitionBy(*own, "_cell").orderBy(p)
+    ranked = counts.join(placed, [*own, "_cell"])
+    ranked = ranked.join(total, own) if own else ranked.crossJoin(F.broadcast(total))  # one row
+    k = F.col("_before") + F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = ranked.withColumn("_q", F.col(p) * F.col("_m") / k)
+    least = ranked.groupBy(*own, "_cell").agg(F.min("_q").alias("_cq"))
+    after = least.withColumn("_after", F.min("_cq").over(family.orderBy("_cell").rowsBetween(1, Window.unboundedFollowing))).select(*own, "_cell", "_after")
+    inside = F.min("_q").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    done = ranked.withColumn("_inside", inside).join(after, [*own, "_cell"])
+    final = done.select(*own, p, F.least(F.lit(1.0), F.col("_inside"), F.coalesce("_after", F.lit(1.0))).alias("p_adjusted"))
+    return p_values.join(final, [*own, p], "left").select(*p_values.columns, "p_adjusted")
 
 
 def bootstrap(ranks: DataFrame, base: str, resamples: int = fixed.RESAMPLES, seed: int = 0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import fixed, text
+from ridgeline.session import broadcast_if_small
 
 
 def rrf(lanes: DataFrame, by: tuple[str, ...] = ("qid", "project"), k: int = fixed.RRF_K) -> DataFrame:
@@ -43,6 +44,17 @@ def pool_cut(hits: DataFrame, root: Column, limit: int = fixed.CANDIDATES, by: t
     return cut.where(F.col("pool_pos") < limit).drop("_own", "_rn", "_g", "_best", "_phase", "_round", "_slot")
 
 
+def reranked(cut: DataFrame, queries: DataFrame) -> DataFrame:
+    """The cut in a new order: by the share of the query's terms (qid, terms) that a hit's text holds, in `_re`.
+
+    It is the offline stand-in for a model that reads query and text together; equal shares keep their order.
+    """
+    asked = queries.select("qid", "terms")
+    share = F.size(F.array_intersect(text.index_terms(F.col("text")), "terms")) / F.greatest(F.size("terms"), F.lit(1))
+    told = cut.join(broadcast_if_small(asked), "qid").withColumn("_re", F.round(share, 6)).drop("terms")
+    return told.withColumn("pool_pos", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("_re"), "pool_pos")) - 1)  # a pool is cut to its limit
+
+
 def diversify(hits: DataFrame, root: Column, k: int = fixed.DEFAULT_K, max_per_file: int = fixed.MAX_PER_FILE, by: tuple[str, ...] = ("qid",), pos: str = "pool_pos") -> DataFrame:
     """Drop doubles (same rel_path and collapsed text; the root's own wins), hold back hits above
     `max_per_file` of a file to the end, cut to k. Adds `rank` from 1."""

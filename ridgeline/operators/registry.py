@@ -181,9 +181,16 @@ def owners(paths: DataFrame, projects: DataFrame, path: str = "path") -> DataFra
 
 
 def fleet_digest(registry: DataFrame) -> DataFrame:
-    """(digest): of what every row is, in the order of their paths; no path is disclosed."""
+    """(digest): of what every row is, whatever their order; no path is disclosed.
+
+    Rows are digested, the digests of each range in their order, then those of the ranges: the last step
+    holds as many as there are ranges, not rows.
+    """
     row = F.concat_ws("|", "path", F.col("enabled").cast("string"), F.col("direct").cast("string"), F.array_join(F.array_sort("roots"), ","), F.col("last_error").isNotNull().cast("string"))
-    return registry.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n"), 256), 1, 16).alias("digest"))
+    digests = registry.select(F.sha2(row, 256).alias("d"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    ranges = digests.groupBy(F.substring("d", 1, 4).alias("range")).agg(joined("d").alias("r"))  # at most 65,536
+    return ranges.agg(F.substring(joined(F.concat("range", "r")), 1, 16).alias("digest"))
 
 
 def fleet_digest_json(rows: dict[str, Entry]) -> str:
@@ -211,3 +218,20 @@ def prunable(stores: DataFrame, registry: DataFrame, now: float, idle: float = f
     claimed = registry.select(store_key(F.col("path")).alias("store"))
     size = stores.groupBy("store").agg(F.max("mtime").alias("newest"), F.floor(F.sum("size") / 1048576).alias("mib"))
     return size.join(claimed, "store", "left_anti").where(F.lit(now) - F.col("newest") > idle).select("store", "mib")
+
+
+def prune(spark: SparkSession, root: str, stores: DataFrame) -> list[str]:
+    """Remove the folders below `root` that `stores` (store) names, as `prunable` found them; those removed."""
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    fs = new(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for r in stores.select("store").distinct().toLocalIterator():
+        at = new(f"{root}/{r['store']}")
+        if r["store"] and "/" not in r["store"] and r["store"] not in (".", "..") and fs.exists(at) and fs.delete(at, True):
+            gone.append(r["store"])
+    return sorted(gone)
+
+
+def health(registry: DataFrame) -> DataFrame:
+    """(enabled, unclaimed): how many projects are enabled, and how many rows nobody claims any more."""
+    return registry.agg(F.count_if("enabled").alias("enabled"), F.count_if(~F.col("direct") & (F.size("roots") == 0)).alias("unclaimed"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import fixed, paths, text
 from ridgeline.operators import chunking, dense, evaluation, lexical, ranking, registry, store
+from ridgeline.plans import indexing
 from ridgeline.plans import search as plan
 from ridgeline.session import broadcast_if_small, fresh_dir, table
 from ridgeline.streaming import changes
@@ -295,6 +296,31 @@ def suppressed_count(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- lexical lane
 
+_INDEXED: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, d: str) -> str:
+    """The lexical index of the chunks of `d`: written by the first search of a session that asks for it, and again if the table's files are others."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at = jvm.Path(f"{d}/chunks.parquet")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [(s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in (fs.listStatus(at))]
+    key = (spark.sparkContext.applicationId, f"{d} {sorted(files)}")
+    if key not in _INDEXED:
+        path = fresh_dir(spark, "lexical-index")
+        lexical.write_index(table(spark, d, "chunks"), path)
+        _INDEXED[key] = path
+    return _INDEXED[key]
+
+
+@query("index_chunks", f"WITH {_SQL_TERMS}, s AS (SELECT project, count(*) AS n_docs, avg(len(terms)) AS avgdl FROM l GROUP BY 1), p AS (SELECT project, count(*) AS postings, sum(tf)::BIGINT AS terms FROM (SELECT project, chunk_id, term, count(*) AS tf FROM (SELECT project, chunk_id, unnest(terms) AS term FROM l) GROUP BY 1, 2, 3) GROUP BY 1) SELECT project, n_docs, avgdl, coalesce(postings, 0) AS postings, coalesce(terms, 0) AS terms FROM s LEFT JOIN p USING (project)")
+def index_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Write the lexical index and report what it holds of each project."""
+    path = fresh_dir(spark, "lexical-index")
+    lexical.write_index(table(spark, d, "chunks"), path)
+    held = spark.read.parquet(f"{path}/postings").groupBy("project").agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("terms"))
+    return spark.read.parquet(f"{path}/stats").join(held, "project", "left").fillna(0, ["postings", "terms"])
+
 
 @query("postings_tf", f"WITH {_SQL_TERMS} SELECT project, chunk_id, term, count(*)::INT AS tf FROM (SELECT project, chunk_id, unnest(terms) AS term FROM l) GROUP BY 1, 2, 3")
 def postings_tf(spark: SparkSession, d: str) -> DataFrame:
@@ -331,19 +357,25 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 
 @query("bm25_scores", f"WITH {_SQL_BM25} SELECT qid, project, chunk_id, round(score, 9) AS score FROM b")
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.bm25_stored(spark, _index(spark, d), _queries(spark, d)).withColumn("score", F.round("score", 9))
+
+
+@query("bm25_without_index", f"WITH {_SQL_BM25} SELECT qid, project, chunk_id, round(score, 9) AS score FROM b")
+def bm25_without_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same scores from the texts, for tables that nobody has indexed."""
     return lexical.bm25(table(spark, d, "chunks"), _queries(spark, d)).withColumn("score", F.round("score", 9))
 
 
 @query("bm25_topk_per_project", f"WITH {_SQL_BM25} SELECT qid, project, chunk_id, pos::INT AS pos FROM lex WHERE pos < 10")
 def bm25_topk_per_project(spark: SparkSession, d: str) -> DataFrame:
-    top = lexical.top_per_project(lexical.bm25(table(spark, d, "chunks"), _queries(spark, d)), 10)
+    top = lexical.top_per_project(lexical.bm25_stored(spark, _index(spark, d), _queries(spark, d)), 10)
     return top.select("qid", "project", "chunk_id", F.col("pos").cast("int").alias("pos"))
 
 
 @query("bm25_topk", f"WITH {_SQL_BM25} SELECT chunk_id, round(score, 9) AS score FROM b WHERE qid = 1 AND project = '{ROOT}' ORDER BY round(score, 9), chunk_id LIMIT 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten best of one question in one project: a sort with a limit, not a window."""
-    scored = lexical.bm25(table(spark, d, "chunks").where(F.col("project") == ROOT), _queries(spark, d).where("qid = 1"))
+    scored = lexical.bm25_stored(spark, _index(spark, d), _queries(spark, d).where("qid = 1"), [ROOT])
     return scored.select("chunk_id", F.round("score", 9).alias("score")).orderBy("score", "chunk_id").limit(10)
 
 
@@ -367,18 +399,11 @@ def knn_topk_per_project(spark: SparkSession, d: str) -> DataFrame:
          k AS (SELECT label, vec_id, 1 - list_cosine_similarity(embedding::DOUBLE[], v) AS distance FROM embeddings, q)
     SELECT label, vec_id, round(distance, 6) AS distance FROM k QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(distance, 9), vec_id) <= 5""")
 def knn_topk_per_label(spark: SparkSession, d: str) -> DataFrame:
-    """The five nearest of each label to one vector, with built-in functions only."""
-    from pyspark.sql import Window
-
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("v")).limit(1)
-    k = e.crossJoin(F.broadcast(q)).withColumn("distance", paths_distance())
-    w = Window.partitionBy("label").orderBy(F.round("distance", 9), "vec_id")
-    return k.withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("label", "vec_id", F.round("distance", 6).alias("distance"))
-
-
-def paths_distance():
-    return dense.cosine_distance(F.col("embedding"), F.col("v"))
+    """The five nearest of each label to one vector."""
+    e = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("project"), F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = e.where("chunk_id = 0").select(F.lit(1).alias("qid"), F.col("embedding").cast("array<double>").alias("vector"))
+    near = lexical.top_per_project(dense.knn(e, asked, 64, 5), 5, "distance")
+    return near.select(F.col("project").cast("int").alias("label"), F.col("chunk_id").alias("vec_id"), F.round("distance", 6).alias("distance"))
 
 
 # ---- fusion and the whole search
@@ -390,11 +415,16 @@ _SQL_RRF = f"""{_SQL_BM25}, {_SQL_KNN},
 
 @query("rrf_fusion", f"WITH {_SQL_RRF} SELECT qid, project, chunk_id, rrf, bm25::INT AS bm25, dense::INT AS dense FROM rr")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    lanes = plan.lanes(table(spark, d, "chunks"), table(spark, d, "chunks_vec"), _queries(spark, d))
+    lanes = plan.lanes(table(spark, d, "chunks"), table(spark, d, "chunks_vec"), _queries(spark, d), index=_index(spark, d))
     return ranking.rrf(lanes).select("qid", "project", "chunk_id", "rrf", "bm25", "dense")
 
 
-def _sql_search(where: str = "TRUE", lanes: str = "") -> str:
+def _sql_search(where: str = "TRUE", lanes: str = "", rerank: bool = False) -> str:
+    # the pool in a new order: by the share of the query's terms that a hit's text holds
+    held = "len(list_filter(terms, lambda t: list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_$.]+'), t)))"
+    again = f"""h4 AS (SELECT h3.*, round({held} / greatest(len(terms), 1), 6) AS re FROM h3 JOIN (SELECT qid AS q, list(term) AS terms FROM {_TERMS} v(qid, term) GROUP BY 1) a ON a.q = h3.qid WHERE pool_pos < 60),
+    h5 AS (SELECT * EXCLUDE (pool_pos), row_number() OVER (PARTITION BY qid ORDER BY re DESC, pool_pos) - 1 AS pool_pos FROM h4),"""
+    pool, score = ("h5", "CASE WHEN re <> 0 THEN re ELSE rrf END") if rerank else ("h3", "rrf")
     return f"""WITH {_SQL_RRF.replace("la AS (", "la0 AS (").replace("FROM la GROUP", f"FROM la0 {lanes} GROUP")},
     ch AS {_SQL_CHUNKS}, lg AS (SELECT project, path, r.lang AS lang FROM {_SQL_CURRENT}),
     hits0 AS (SELECT rr.*, ch.path AS rel_path, start_line, end_line, text, lang, coalesce(bm25, 60 + dense) AS io, CASE WHEN rr.project = '{ROOT}' THEN '' ELSE rr.project END AS po
@@ -404,12 +434,13 @@ def _sql_search(where: str = "TRUE", lanes: str = "") -> str:
     h3 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY
               CASE WHEN project = '{ROOT}' AND rn <= 30 THEN 0 ELSE 1 END, CASE WHEN project = '{ROOT}' AND rn > 30 THEN rn - 30 ELSE rn END,
               CASE WHEN project <> '{ROOT}' THEN best WHEN rn <= 30 THEN 0 ELSE 2147483647 END) - 1 AS pool_pos FROM h2),
-    p AS (SELECT *, left(trim(regexp_replace(text, '{_WS}+', ' ', 'g')), 400) AS fp FROM h3 WHERE pool_pos < 60),
+    {again if rerank else ""}
+    p AS (SELECT *, left(trim(regexp_replace(text, '{_WS}+', ' ', 'g')), 400) AS fp FROM {pool} WHERE pool_pos < 60),
     p1 AS (SELECT *, bool_or(project = '{ROOT}') OVER (PARTITION BY qid, rel_path, fp) AS root_has FROM p),
     p2 AS (SELECT * FROM p1 WHERE project = '{ROOT}' OR NOT root_has QUALIFY row_number() OVER (PARTITION BY qid, rel_path, fp ORDER BY pool_pos) = 1),
     p3 AS (SELECT *, row_number() OVER (PARTITION BY qid, project, rel_path ORDER BY pool_pos) > 2 AS held FROM p2),
     p4 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY held, pool_pos) AS rank FROM p3)
-    SELECT qid, rank::INT AS rank, project, rel_path, chunk_lines AS lines, lang, rrf AS score FROM (SELECT *, start_line || '-' || end_line AS chunk_lines FROM p4) WHERE rank <= 10"""
+    SELECT qid, rank::INT AS rank, project, rel_path, chunk_lines AS lines, lang, {score} AS score FROM (SELECT *, start_line || '-' || end_line AS chunk_lines FROM p4) WHERE rank <= 10"""
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -417,8 +448,8 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.select("qid", F.col("rank").cast("int").alias("rank"), "project", "rel_path", lines.alias("lines"), "lang", "score")
 
 
-def _search(spark: SparkSession, d: str, **options) -> DataFrame:
-    return _shown(plan.search(table(spark, d, "chunks"), table(spark, d, "files"), table(spark, d, "chunks_vec"), _queries(spark, d), ROOT, **options))
+def _search(spark: SparkSession, d: str, rerank: bool = False, **options) -> DataFrame:
+    return _shown(plan.search(table(spark, d, "chunks"), table(spark, d, "files"), table(spark, d, "chunks_vec"), _queries(spark, d), ROOT, rerank=rerank, index=_index(spark, d), **options))
 
 
 @query("hybrid_search", _sql_search())
@@ -427,6 +458,12 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d)
 
 
+@query("rerank_search", _sql_search(rerank=True))
+def rerank_search(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship with its reranker, which is on by default."""
+    return _search(spark, d, rerank=True)
+
+
 @query("lexical_search", _sql_search(lanes="WHERE lane = 'bm25'"))
 def lexical_search(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, mode="lexical")
@@ -514,9 +551,7 @@ _SQL_REG = f"""(SELECT project AS path, i % 7 <> 3 AS enabled, i % 5 = 0 AS dire
 
 def _registry(spark: SparkSession, d: str) -> DataFrame:
     """A registry made of the projects of `files`: by their number some are disabled, some roots, some members."""
-    from pyspark.sql import Window
-
-    p = table(spark, d, "files").select("project").distinct().withColumn("i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("project")) - 1)
+    p = _numbered(table(spark, d, "files").select("project"), "project")
     roots = F.when(F.col("i") % 5 == 0, F.array().cast("array<string>")).when(F.col("i") % 3 == 0, F.array(F.lit(ROOT), F.lit("/work/trees/ember-index"))).otherwise(F.array(F.lit(ROOT)))
     return p.select(
         F.col("project").alias("path"), (F.col("i") % 7 != 3).alias("enabled"), (F.col("i") % 5 == 0).alias("direct"), roots.alias("roots"),
@@ -524,6 +559,11 @@ def _registry(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """The distinct values of a column with their number `i` in order: a registry's paths, so not many."""
+    return rows.agg(F.array_sort(F.collect_set(name)).alias("a")).select(F.posexplode("a").alias("i", name))
+
+
 @query("federation_members", f"SELECT DISTINCT root, path AS member FROM (SELECT unnest(roots) AS root, path FROM {_SQL_REG} WHERE enabled)")
 def federation_members(spark: SparkSession, d: str) -> DataFrame:
     return registry.members(_registry(spark, d))
@@ -563,7 +603,9 @@ def owner_longest_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("fleet_digest", f"""
-    SELECT left(sha256(array_to_string(list_sort(list(path || '|' || enabled || '|' || direct || '|' || array_to_string(list_sort(roots), ',') || '|' || (last_error IS NOT NULL))), chr(10))), 16) AS digest FROM {_SQL_REG}""")
+    WITH r AS (SELECT sha256(path || '|' || enabled || '|' || direct || '|' || array_to_string(list_sort(roots), ',') || '|' || (last_error IS NOT NULL)) AS d FROM {_SQL_REG}),
+         g AS (SELECT left(d, 4) || sha256(array_to_string(list_sort(list(d)), chr(10))) AS x FROM r GROUP BY left(d, 4))
+    SELECT left(sha256(array_to_string(list_sort(list(x)), chr(10))), 16) AS digest FROM g""")
 def fleet_digest(spark: SparkSession, d: str) -> DataFrame:
     return registry.fleet_digest(_registry(spark, d))
 
@@ -578,12 +620,19 @@ def backup_retention(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("unclaimed", f"""
-    WITH r AS (SELECT path FROM {_SQL_REG} WHERE direct), s AS (SELECT string_split(project, '/')[-1] || '-' || left(sha256(project), 16) AS store, max(mtime) AS newest, floor(sum(size) / 1048576)::BIGINT AS mib FROM files GROUP BY 1)
-    SELECT store, mib FROM s WHERE store NOT IN (SELECT string_split(path, '/')[-1] || '-' || left(sha256(path), 16) FROM r) AND 1800000000.0 - newest > 60""")
+    WITH r AS (SELECT path FROM {_SQL_REG}), s AS (SELECT string_split(project, '/')[-1] || '-' || left(sha256(project), 16) AS store, max(mtime) AS newest, floor(sum(size) / 1048576)::BIGINT AS mib FROM files GROUP BY 1)
+    SELECT store, mib FROM (SELECT * FROM s UNION ALL SELECT 'gone-0123456789abcdef', 0.0, 0) WHERE store NOT IN (SELECT string_split(path, '/')[-1] || '-' || left(sha256(path), 16) FROM r) AND 1800000000.0 - newest > 60""")
 def unclaimed(spark: SparkSession, d: str) -> DataFrame:
-    """Idle store folders that no directly claimed project owns."""
-    stores = table(spark, d, "files").select(paths.store_key(F.col("project")).alias("store"), "mtime", "size")
-    return registry.prunable(stores, _registry(spark, d).where("direct"), 1_800_000_000.0)
+    """Idle store folders that no row of the registry claims; one folder is left of a project that isn't registered any more."""
+    left = spark.createDataFrame([("gone-0123456789abcdef", 0.0, 0)], "store string, mtime double, size long")
+    stores = table(spark, d, "files").select(paths.store_key(F.col("project")).alias("store"), "mtime", "size").union(left)
+    return registry.prunable(stores, _registry(spark, d), 1_800_000_000.0)
+
+
+@query("registry_claims", f"SELECT count(*) FILTER (WHERE enabled) AS enabled, count(*) FILTER (WHERE NOT direct AND len(roots) = 0) AS unclaimed FROM {_SQL_REG}")
+def registry_claims(spark: SparkSession, d: str) -> DataFrame:
+    """How many projects are enabled, and how many rows nobody claims."""
+    return registry.health(_registry(spark, d))
 
 
 @query("member_sweep", f"""
@@ -685,6 +734,114 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.percentiles(table(spark, d, "events"), "event_type", "value")
 
 
+# ---- the write path, over the documents as files of their sources
+
+_INKED = "regexp_matches(text, '[^" + _WS[1:] + "')"
+_LATER = "text || chr(10) || 'edited'"
+
+
+def _tree(docs: DataFrame) -> DataFrame:
+    """The documents that aren't blank as a listing of files, a project a source."""
+    inked = docs.where(F.col("text").rlike(r"(?U)\S"))
+    return inked.select(
+        F.coalesce("source", F.lit("")).alias("project"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.lit(0.0).alias("mtime"),
+        F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha256"), F.lit("").alias("lang"), text.line_count(F.col("text")).cast("int").alias("n_lines"), "text",
+    )
+
+
+def _edited(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("text").rlike(r"(?U)\S")).withColumn("text", F.concat("text", F.lit("\nedited")))
+
+
+def _store(spark: SparkSession) -> indexing.Store:
+    return indexing.Store(spark, fresh_dir(spark, "store"))
+
+
+def _held(s: indexing.Store) -> DataFrame:
+    """(project, path, sha256, joined, chunks_fit): each file of a store, a digest of its chunks joined, and whether each is within the limit."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
+    bodies = s.chunks().groupBy("project", "path").agg(F.sha2(F.array_join(parts, ""), 256).alias("joined"), (F.max("n_chars") <= fixed.CHUNK_CHARS).alias("chunks_fit"))
+    return s.files().select("project", "path", "sha256").join(bodies, ["project", "path"], "left")
+
+
+def _sql_held(text: str = "text", where: str = "TRUE") -> str:
+    return f"SELECT coalesce(source, '') AS project, 'd' || doc_id AS path, sha256({text}) AS sha256, sha256({text}) AS joined, TRUE AS chunks_fit FROM documents WHERE {_INKED} AND {where}"
+
+
+@query("index_pass", _sql_held())
+def index_pass(spark: SparkSession, d: str) -> DataFrame:
+    """Index all documents: files, chunks that joined are the file again, vectors and postings."""
+    s = _store(spark)
+    s.index(_tree(table(spark, d, "documents")))
+    return _held(s)
+
+
+@query("index_second_pass", f"SELECT 0 AS written, 0 AS deleted, 0 AS relabelled, count(*) AS files, 1 AS generations FROM documents WHERE {_INKED}")
+def index_second_pass(spark: SparkSession, d: str) -> DataFrame:
+    """A pass over unchanged documents writes nothing."""
+    s = _store(spark)
+    s.index(_tree(table(spark, d, "documents")))
+    done = s.index(_tree(table(spark, d, "documents")))
+    return spark.createDataFrame([(done.written, done.deleted, done.relabelled, done.files, len(s.commits()))], "written int, deleted int, relabelled int, files long, generations int")
+
+
+@query("index_edit_delete", _sql_held(f"CASE WHEN lang = 'python' THEN {_LATER} ELSE text END", "lang IS DISTINCT FROM 'go'"))
+def index_edit_delete(spark: SparkSession, d: str) -> DataFrame:
+    """A pass after the Python documents were edited and the Go documents are gone."""
+    s, docs = _store(spark), table(spark, d, "documents")
+    s.index(_tree(docs))
+    python = F.coalesce(F.col("lang") == "python", F.lit(False))
+    left = docs.where(~F.coalesce(F.col("lang") == "go", F.lit(False)))
+    projects = sorted(r["p"] for r in docs.select(F.coalesce("source", F.lit("")).alias("p")).distinct().collect())  # a row a source
+    s.index(_tree(_edited(left.where(python)).unionByName(left.where(~python))), projects=projects)
+    return _held(s)
+
+
+@query("index_scoped", _sql_held(f"CASE WHEN lang = 'python' THEN {_LATER} ELSE text END"))
+def index_scoped(spark: SparkSession, d: str) -> DataFrame:
+    """Every document was edited, but only the Python ones are named to the pass."""
+    s, docs = _store(spark), table(spark, d, "documents")
+    s.index(_tree(docs))
+    s.index(_tree(_edited(docs)), named=_tree(docs.where("lang = 'python'")).select("project", "path"))
+    return _held(s)
+
+
+@query("index_compacted", _sql_held(f"CASE WHEN lang = 'python' THEN {_LATER} ELSE text END"))
+def index_compacted(spark: SparkSession, d: str) -> DataFrame:
+    """The same store after its generations were written as one."""
+    s, docs = _store(spark), table(spark, d, "documents")
+    s.index(_tree(docs))
+    s.index(_tree(_edited(docs)), named=_tree(docs.where("lang = 'python'")).select("project", "path"))
+    s.compact()
+    return _held(s)
+
+
+# Bytes and the text they are read as.
+_BYTES = [("6f6b", "ok"), ("fffe", "\ufffd\ufffd"), ("61e282", "a\ufffd"), ("c3a9", "é"), ("", "")]
+
+
+@query("decode", f"SELECT * FROM {_values(_BYTES)} v(bytes, text)")
+def decode(spark: SparkSession, d: str) -> DataFrame:
+    """Text of bytes, invalid sequences replaced."""
+    return spark.createDataFrame([(b,) for b, _ in _BYTES], "bytes string").select("bytes", text.decoded(F.unhex("bytes")).alias("text"))
+
+
+@query("stripped_corpus", "SELECT doc_id, TRUE AS kept FROM documents WHERE text IS NOT NULL")
+def stripped_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Every document stays in the corpus, and what is left of it is its end."""
+    docs = table(spark, d, "documents").where("text is not null").select(F.lit("all").alias("project"), F.col("doc_id").cast("string").alias("path"), "lang", "text")
+    left = evaluation.stripped_corpus(docs).select("path", F.col("text").alias("left"))
+    return docs.join(left, "path").select(F.col("path").cast("long").alias("doc_id"), F.endswith("text", F.col("left")).alias("kept"))
+
+
+@query("corpora_overlap", "SELECT DISTINCT project, path FROM files WHERE FALSE")
+def corpora_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """The files that are in the code corpus and in the prose corpus: none."""
+    f = table(spark, d, "files").select("project", "path", paths.lang_of(F.col("path")).alias("lang"))
+    prose = F.col("lang").isin(list(fixed.DOC_LANGUAGES))
+    return evaluation.overlap(f.where(~prose), f.where(prose))
+
+
 # ---- chunking and the change feed
 
 
@@ -706,7 +863,7 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("stream_change_batches", """
-    WITH e AS (SELECT DISTINCT '/work/p' || (user_id % 20) AS project, event_type || '/e' || (event_id % 500) || '.py' AS rel FROM events WHERE user_id % 23 <> 7)
+    WITH e AS (SELECT DISTINCT '/work/p' || (user_id % 20) AS project, event_type || '/e' || (event_id % 500) || '.py' AS rel  FROM events)
     SELECT project, array_to_string(list_sort(list(rel)), ',') AS paths FROM e GROUP BY 1""")
 def stream_change_batches(spark: SparkSession, d: str) -> DataFrame:
     """The events as a change feed, read as a stream in one go: paths grouped to a job per owning project."""
@@ -714,13 +871,13 @@ def stream_change_batches(spark: SparkSession, d: str) -> DataFrame:
     out = fresh_dir(spark, "jobs")
     stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet" if _is_dir(spark, f"{d}/events.parquet") else f"{d}/event[s].parquet")
     projects = spark.createDataFrame([(f"/work/p{i}",) for i in range(20)], "path string")
-    feed = stream.where("user_id % 23 <> 7").select(F.concat(F.lit("/work/p"), F.col("user_id") % 20, F.lit("/"), "event_type", F.lit("/e"), F.col("event_id") % 500, F.lit(".py")).alias("path"))
+    feed = stream.select(F.concat(F.lit("/work/p"), F.col("user_id") % 20, F.lit("/"), "event_type", F.lit("/e"), F.col("event_id") % 500, F.lit(".py")).alias("path"))
 
     def batch(df: DataFrame, number: int) -> None:
         changes.jobs(df, projects).write.mode("overwrite").parquet(f"{out}/batches/batch={number}")
 
     feed.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    done = spark.read.parquet(f"{out}/batches").select("project", F.explode("paths").alias("p")).distinct()
+    done = spark.read.parquet(f"{out}/batches").select("project", F.explode("paths").alias("p")).distinct()  # a path may come in several batches
     return done.groupBy("project").agg(F.array_join(F.array_sort(F.collect_list("p")), ",").alias("paths"))
 
 
@@ -744,6 +901,22 @@ def queue_dedup(spark: SparkSession, d: str) -> DataFrame:
     return changes.coalesce_jobs(q).withColumn("paths", F.array_join("paths", ","))
 
 
+@query("census_top", "SELECT '/home/u' || user_id AS cwd, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, cwd LIMIT 10")
+def census_top(spark: SparkSession, d: str) -> DataFrame:
+    """The ten working folders named most."""
+    from ridgeline.sources import corpus
+
+    return corpus.most_common(table(spark, d, "events").select(F.concat(F.lit("/home/u"), "user_id").alias("cwd")))
+
+
+@query("first_seen", "SELECT user_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY 1")
+def first_seen(spark: SparkSession, d: str) -> DataFrame:
+    """The first event of each user."""
+    from ridgeline.sources import corpus
+
+    return corpus.first_seen(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
 @query("census", """
     WITH p AS (SELECT DISTINCT project AS p FROM files), c AS (SELECT DISTINCT '/work/trees/' || string_split(project, '/')[-1] || CASE WHEN event_id % 3 = 0 THEN '' ELSE '/sub/x' END AS cwd FROM (SELECT event_id, user_id FROM events) e,
               (SELECT project, dense_rank() OVER (ORDER BY project) AS i FROM (SELECT DISTINCT project FROM files)) f WHERE f.i = e.user_id % 60 UNION SELECT DISTINCT '/home/u' || user_id FROM events),
@@ -751,12 +924,10 @@ def queue_dedup(spark: SparkSession, d: str) -> DataFrame:
     SELECT CASE WHEN own IS NULL THEN 'unresolved' WHEN own = cwd THEN 'direct' ELSE 'resolves-up' END AS how, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM o), 1) AS percent FROM o GROUP BY 1""")
 def census(spark: SparkSession, d: str) -> DataFrame:
     """How working folders resolve to projects."""
-    from pyspark.sql import Window
-
     from ridgeline.sources import corpus
 
     projects = table(spark, d, "files").select(F.col("project").alias("path")).distinct()
-    numbered = projects.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("path")))
+    numbered = _numbered(projects, "path").withColumn("i", F.col("i") + 1)
     events = table(spark, d, "events")
     there = events.join(F.broadcast(numbered), F.col("user_id") % 60 == F.col("i")).select(F.when(F.col("event_id") % 3 == 0, F.col("path")).otherwise(F.concat("path", F.lit("/sub/x"))).alias("cwd"))
     folders = there.union(events.select(F.concat(F.lit("/home/u"), "user_id"))).distinct()

@@ -37,11 +37,18 @@ def searchable(registry: DataFrame) -> DataFrame:
     return registry.where("enabled and indexed_at is not null")
 
 
-def lanes(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, mode: str = "hybrid", candidates: int = fixed.CANDIDATES, dimensions: int = 64) -> DataFrame:
-    """(qid, project, chunk_id, lane, pos): the lanes that `mode` asks for; the other isn't computed."""
+def lanes(
+    chunks: DataFrame, vectors: DataFrame, queries: DataFrame, mode: str = "hybrid", candidates: int = fixed.CANDIDATES, dimensions: int = 64,
+    index: str | None = None, projects: list[str] | None = None,
+) -> DataFrame:
+    """(qid, project, chunk_id, lane, pos): the lanes that `mode` asks for; the other isn't computed.
+
+    index: a folder that `lexical.write_index` has filled from the same chunks; without one the texts are read.
+    """
     out = None
     if mode in ("hybrid", "lexical"):
-        out = lexical.top_per_project(lexical.bm25(chunks, queries.select("qid", "terms")), candidates).select("qid", "project", "chunk_id", F.lit("bm25").alias("lane"), "pos")
+        scored = lexical.bm25_stored(chunks.sparkSession, index, queries.select("qid", "terms"), projects) if index else lexical.bm25(chunks, queries.select("qid", "terms"))
+        out = lexical.top_per_project(scored, candidates).select("qid", "project", "chunk_id", F.lit("bm25").alias("lane"), "pos")
     if mode in ("hybrid", "semantic"):
         near = dense.knn(vectors, queries.select("qid", "vector"), dimensions, candidates)
         d = lexical.top_per_project(near, candidates, "distance").select("qid", "project", "chunk_id", F.lit("dense").alias("lane"), "pos")
@@ -51,22 +58,37 @@ def lanes(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, mode: str =
     return out
 
 
+def searchable_root(registry: DataFrame, root: str) -> None:
+    """Refuse a root that isn't registered, enabled and indexed."""
+    if searchable(registry).where(F.col("path") == root).isEmpty():
+        raise SearchError(f"{root} isn't an enabled, indexed project")
+
+
 def search(
     chunks: DataFrame, files: DataFrame, vectors: DataFrame, queries: DataFrame, root: str, projects: list[str] | None = None, mode: str = "hybrid",
-    k: int = fixed.DEFAULT_K, lang: str | None = None, path_glob: str | None = None, rerank: bool = False,
+    k: int = fixed.DEFAULT_K, lang: str | None = None, path_glob: str | None = None, rerank: bool = True,
     max_per_file: int = fixed.MAX_PER_FILE, preview_lines: int = fixed.PREVIEW_LINES, body: bool = False, candidates: int = fixed.CANDIDATES, dimensions: int = 64,
+    index: str | None = None, registry: DataFrame | None = None,
 ) -> DataFrame:
     """The results of each query (qid, text, terms, vector): columns of `ranking.payload`.
 
     projects: the scope, root included (None: all). The filters `lang` ('' and None: none) and
     `path_glob` act on the lanes' survivors, as a search does that fetches its top candidates first.
+    index: see `lanes`. registry: the root must be searchable by it. Requests that can't be answered
+    raise SearchError before anything is read.
     """
+    known = sorted(r["lang"] for r in files.select("lang").distinct().collect() if r["lang"]) if lang else None  # one row a language
+    for r in queries.select("text").distinct().collect():  # a stated set
+        k = check(r["text"], mode, k, lang, known)
+    if registry is not None:
+        searchable_root(registry, root)
+    scope = None
     if projects is not None:
         scope = sorted({root, *projects})
         chunks, files, vectors = (df.where(F.col("project").isin(scope)) for df in (chunks, files, vectors))
     # at most queries x projects x 2 candidates, written out so that the planner sees their size and
     # broadcasts them to the chunks where they are few; candidates without a row are dropped
-    fused = staged(ranking.rrf(lanes(chunks, vectors, queries, mode, candidates, dimensions)), "candidates")
+    fused = staged(ranking.rrf(lanes(chunks, vectors, queries, mode, candidates, dimensions, index, scope)), "candidates")
     rows = chunks.select("project", "chunk_id", F.col("path").alias("rel_path"), "start_line", "end_line", "text")
     langs = files.groupBy("project", F.col("path").alias("rel_path")).agg(F.max_by("lang", F.struct("seen_at", "lang")).alias("lang")) if "seen_at" in files.columns else files.select("project", F.col("path").alias("rel_path"), "lang")
     hits = rows.join(fused, ["project", "chunk_id"]).dropDuplicates(["qid", "project", "chunk_id"]).join(langs, ["project", "rel_path"])
@@ -79,20 +101,25 @@ def search(
     cut = ranking.pool_cut(hits, F.lit(root), candidates)
     rank = F.lit(None).cast("double")
     if rerank:
-        asked = queries.select("qid", "terms")
-        from ridgeline.functions.text import index_terms
-
-        cut = cut.join(F.broadcast(asked), "qid").withColumn("_re", F.round(F.size(F.array_intersect(index_terms(F.col("text")), "terms")) / F.greatest(F.size("terms"), F.lit(1)), 6)).drop("terms")
-        from pyspark.sql import Window
-
-        cut = cut.withColumn("pool_pos", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("_re"), "pool_pos")) - 1)
+        cut = ranking.reranked(cut, queries)
         rank = F.col("_re")
     cut = cut.withColumn("scores", F.struct("rrf", "bm25", "dense", rank.alias("rerank")))
     return ranking.payload(ranking.diversify(cut, F.lit(root), k, max_per_file), preview_lines, body)
 
 
+def envelope(results: DataFrame, totals: DataFrame, took_ms: int) -> DataFrame:
+    """(qid, searched, took_ms, results, hint): one row a query that found something, with what was searched and how long it took."""
+    cols = [c for c in results.columns if c != "qid"]
+    found = results.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in cols if c != "rank"]))).alias("results"))  # at most k a query
+    total = totals.select(F.struct("projects", "files", "chunks").alias("searched"))
+    hint = F.when(F.size("results") == 0, "no hit; try other words or mode")
+    return found.crossJoin(F.broadcast(total)).select("qid", "searched", F.lit(took_ms).alias("took_ms"), "results", hint.alias("hint"))  # one row
+
+
 def make_queries(spark: SparkSession, texts: list[tuple[int, str]], vectors: dict[int, list[float]] | None = None, embed=None) -> DataFrame:
     """(qid, text, terms, vector) from query texts; vectors given, or made by an embedder."""
+    for _, t in texts:
+        check(t)
     model = embed or dense.hashed_ngrams()
     rows = [(q, t, query_terms(t), [float(x) for x in (vectors[q] if vectors else model([t])[0])]) for q, t in texts]
     return spark.createDataFrame(rows, "qid long, text string, terms array<string>, vector array<double>")

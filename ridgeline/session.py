@@ -28,6 +28,23 @@ def build_session(master: str = "local[*]", app: str = "ridgeline", **conf: str)
     return SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
 
 
+def setting(name: str, default, environ: dict[str, str] | None = None):
+    """A setting from the environment, of the type of its default: trimmed; a blank number or flag is the
+    default, a blank text is blank; a number that can't be read is an error; 1, true, yes and on are true."""
+    raw = (os.environ if environ is None else environ).get(name)
+    value = None if raw is None else raw.strip()
+    if value is None or (value == "" and not isinstance(default, str)):
+        return default
+    if isinstance(default, bool):
+        return value.lower() in ("1", "true", "yes", "on")
+    if isinstance(default, int):
+        try:
+            return int(value)
+        except ValueError:
+            raise ValueError(f"{name} must be a whole number, got {value!r}") from None
+    return value
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a session, so that their Python workers can import it."""
     context = spark.sparkContext
@@ -52,12 +69,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from `spark.checkpoint.dir`.
 
-    Only where the session has none (tests on one machine) a temporary folder is made, set on the
-    context, and removed when the process ends.
+    Where the session has none and runs on this machine alone, a temporary folder is made, set on the
+    context, and removed when the process ends. On a cluster that is an error: a folder of the driver's
+    machine is none of the executors'.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="ridgeline-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")

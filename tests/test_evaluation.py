@@ -10,6 +10,21 @@ def test_mcnemar_and_bh(spark):
     assert math.isclose(got[0], 0.05) and got == sorted(got)
 
 
+def test_adjusting_equals_the_step_up_rule(spark):
+    import random
+
+    random.seed(3)
+    p = [round(random.random(), 2) for _ in range(300)] + [0.0, 1.0, 0.05, 0.05]
+    order = sorted(range(len(p)), key=lambda i: p[i])
+    want, least = [0.0] * len(p), 1.0
+    for k in range(len(p), 0, -1):
+        least = min(least, p[order[k - 1]] * len(p) / k)
+        want[order[k - 1]] = least
+    df = spark.createDataFrame(list(enumerate(p)) + [(999, None)], "i long, p double")
+    got = {r.i: r.p_adjusted for r in ev.adjust(df).collect()}
+    assert got.pop(999) is None and all(math.isclose(got[i], w) for i, w in enumerate(want))
+
+
 def test_metrics(spark):
     rows = [("a", 1, 1), ("a", 2, None), ("a", 3, 4), ("b", 1, 1), ("b", 2, 2), ("b", 3, 30)]
     df = spark.createDataFrame(rows, "arm string, qid long, rank int")
@@ -33,6 +48,10 @@ def test_queries_are_stripped_from_the_text(spark):
              ("p", "c.go", "go", "// one two three four\n// five six seven eight nine\npackage x\n")]
     got = {r.positive: r for r in ev.derive_queries(spark.createDataFrame(files, "project string, path string, lang string, text string")).collect()}
     assert got.keys() == {"s.py", "d.md", "c.go"} and got["s.py"].stripped == "\nclass S: pass\n" and "session" not in got["s.py"].stripped
+    frame = spark.createDataFrame(files, "project string, path string, lang string, text string")
+    corpus = {r.path: r.text for r in ev.stripped_corpus(frame).collect()}
+    assert corpus["s.py"] == got["s.py"].stripped and corpus["x.py"] == "# short\n" and corpus["n"] is None and len(corpus) == 5
+    assert ev.overlap(frame, frame.where("lang = 'go'")).count() == 2 and ev.overlap(frame.where("lang = 'python'"), frame.where("lang = 'go'")).count() == 0
     assert got["d.md"].query.startswith("Storage How the rows") and got["d.md"].stripped == "\nnext\n" and got["c.go"].stripped == "package x\n"
 
 

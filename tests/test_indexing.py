@@ -61,6 +61,76 @@ def test_passes(spark, repo, tmp_path):
         s.index_project(str(tmp_path / "missing"))
 
 
+def state(s):
+    return {(r.path, r.sha256) for r in s.files().collect()}, {(r.path, r.ord, r.text) for r in s.chunks().collect()}
+
+
+def test_a_stop_between_any_two_writes_loses_nothing(spark, repo, tmp_path, monkeypatch):
+    s = Store(spark, f"file://{tmp_path}/store")
+    s.index_project(str(repo))
+    before = state(s)
+    (repo / "src/app.py").write_text("def other(): pass\n")
+    os.unlink(repo / "src/util.js")
+
+    def stop(*_, **__):
+        raise RuntimeError("stopped")
+
+    from ridgeline.operators import lexical
+
+    for where, name in ((indexing.chunking, "chunk_files"), (lexical, "write_postings"), (Store, "_commit")):
+        with monkeypatch.context() as m:
+            m.setattr(where, name, stop)
+            with pytest.raises(RuntimeError):
+                s.index_project(str(repo))
+        assert state(s) == before  # what was there is still there, whole
+    done = s.index_project(str(repo))
+    assert (done.written, done.deleted, done.files) == (1, 1, 2)
+    files, chunks = state(s)
+    assert {p for p, _ in files} == {".gitignore", "src/app.py"} == {p for p, *_ in chunks}
+    s.compact()
+    assert state(s) == (files, chunks) and len(s.commits()) == 1
+    assert s.index_project(str(repo)).written == 0
+
+
+def test_a_small_edit_writes_a_small_generation(spark, repo, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    s.index_project(str(repo))
+    (repo / "src/app.py").write_text("def other(): pass\n")
+    s.index_project(str(repo), named=["src/app.py"])
+    newest = max(s._names("chunks"))
+    assert {r.path for r in spark.read.parquet(f"{s.root}/chunks/{newest}").collect()} == {"src/app.py"}
+    with pytest.raises(FileNotFoundError):
+        s.open("/nowhere")
+    assert s.open(str(repo.resolve())).count() == s.chunks().count()
+
+
+def test_stored_postings_score_like_the_texts(spark, repo, tmp_path):
+    from ridgeline.operators import lexical
+
+    s = Store(spark, f"file://{tmp_path}/store")
+    s.index_project(str(repo))
+    (repo / "src/app.py").write_text("def parse_table(): return renderTable\n")
+    s.index_project(str(repo))
+    q = spark.createDataFrame([(1, ["table", "parse", "nowhere"])], "qid long, terms array<string>")
+    by = lambda df: sorted((r.qid, r.chunk_id, round(r.score, 9)) for r in df.collect())
+    assert by(s.bm25(q)) == by(lexical.bm25(s.chunks(), q)) != []
+    assert s.bm25(q, ["/none"]).count() == 0
+    with pytest.raises(ValueError, match="terms"):
+        lexical.asked_terms(spark.createDataFrame([(1, [str(i) for i in range(lexical.MAX_TERMS + 1)])], "qid long, terms array<string>"))
+
+
+def test_a_watch_is_armed_anew_only_for_another_set():
+    started = []
+
+    class Feed:
+        def stop(self):
+            started.append("stop")
+
+    w = changes.Watch(lambda projects: started.append(projects) or Feed(), lambda p: p != "broken")
+    assert w.arm(["b", "a", "broken"]) and not w.arm(["a", "b"]) and w.arm(["a"]) and w.arm([])
+    assert started == [["a", "b"], "stop", ["a"], "stop"]
+
+
 def test_queue_goes_on_after_a_failure():
     def run(project, named):
         if project == "bad":
@@ -75,7 +145,7 @@ def test_queue_goes_on_after_a_failure():
 def test_config():
     c = corpus.parse_config("index:\n  exclude: [a/*]\n  respect_gitignore: false\nfederation:\n  exclude: [x]\n")
     assert c.exclude == ("a/*",) and not c.respect_gitignore and c.federation_exclude == ("x",) and corpus.parse_config("") == corpus.Config()
-    for bad, said in (("- a", "mapping"), ("indx: {}", "did you mean 'index'"), ("index: {exclud: []}", "did you mean 'exclude'"), ("index: {exclude: x}", "list"), ("index: {respect_gitignore: 1}", "true or false"), ("a: [", "<string>")):
+    for bad, said in (("- a", "mapping"), ("indx: {}", "did you mean 'index'"), ("index: {exclud: []}", "did you mean 'exclude'"), ("index: {exclude: x}", "list"), ("index: {patterns: [a]}", "retired"), ("index: [a]", "index: must be a mapping"), ("index: {exclude: [no]}\nfederation: {exclude: 1}", "list of strings; .*list of strings"), ("index: {respect_gitignore: 1}", "true or false"), ("a: [", "<string>")):
         with pytest.raises(corpus.ConfigError, match=said):
             corpus.parse_config(bad)
     assert c.signature() == corpus.Config(("a/*",), (), False, True, ()).signature()
@@ -146,3 +216,5 @@ def test_change_stream(spark, tmp_path):
     (log / "2.json").write_text(json.dumps({"seq": 1, "change": "deleted", "path": "/w/a/src/f1.py"}))
     changes.watch(spark, str(log), projects, apply, str(tmp_path / "state"), lambda p, e: None, once=True).awaitTermination()
     assert got["/w/a"][1] == ["src/f1.py"]
+    big = changes.jobs(spark.createDataFrame([(f"/w/a/f{i}.py",) for i in range(95)], "path string"), projects, 10).collect()
+    assert len(big) > 5 and sorted(p for j in big for p in j.paths) == sorted(f"f{i}.py" for i in range(95))

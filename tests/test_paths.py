@@ -42,7 +42,7 @@ def test_languages(spark):
 def test_tables_are_whole_and_disjoint():
     sizes = (len(fixed.IGNORE_DIRS), len(fixed.IGNORE_NAMES), len(fixed.DEFAULT_IGNORES), len(fixed.SECRET_NAMES), len(fixed.SECRET_GLOBS), len(fixed.IMAGE_SUFFIXES), len(fixed.BINARY_SUFFIXES))
     assert sizes == (77, 21, 21, 37, 29, 30, 138)
-    assert (len(fixed.SUFFIX_LANGUAGE), len(fixed.LANGUAGE_SUFFIXES), len(fixed.NAME_LANGUAGE)) == (173, 87, 25)
+    assert (len(fixed.SUFFIX_LANGUAGE), len(set(fixed.SUFFIX_LANGUAGE.values())), len(fixed.NAME_LANGUAGE)) == (173, 87, 25)
     assert not set(fixed.SUFFIX_LANGUAGE) & {*fixed.IMAGE_SUFFIXES, *fixed.BINARY_SUFFIXES}
 
 

@@ -36,3 +36,36 @@ def test_search_over_a_small_store(spark):
     assert {r.rel_path for r in plan.search(chunks, files, vectors, queries, "/r", path_glob="b*").collect()} == {"b.py"}
     assert {r.project for r in plan.search(chunks, files, vectors, queries, "/r", projects=["/r"]).collect()} == {"/r"}
     assert plan.search(chunks.limit(0), files, vectors.limit(0), queries, "/r").count() == 0
+    with pytest.raises(plan.SearchError, match="did you mean 'python'"):
+        plan.search(chunks, files, vectors, queries, "/r", lang="pyton")
+    with pytest.raises(plan.SearchError, match="empty"):
+        plan.make_queries(spark, [(1, "  ")])
+    known = spark.createDataFrame([("/r", True, 1.0), ("/m", True, None), ("/off", False, 1.0)], "path string, enabled boolean, indexed_at double")
+    for root in ("/m", "/off", "/nowhere"):
+        with pytest.raises(plan.SearchError, match="indexed"):
+            plan.search(chunks, files, vectors, queries, root, registry=known)
+    found = plan.search(chunks, files, vectors, queries, "/r", registry=known)
+    row = plan.envelope(found, plan.scope_totals(files, chunks, ["/r", "/m"]), 7).first()
+    assert (row.searched.projects, row.searched.chunks, row.took_ms, row.hint) == (2, 4, 7, None) and [r["rank"] for r in row.results] == list(range(1, len(row.results) + 1))
+
+
+def test_intermediates_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from ridgeline import session
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    remote = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"), conf=conf)
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_dir(remote)
+
+
+def test_settings_from_the_environment():
+    from ridgeline.session import setting
+
+    env = {"N": " 7 ", "BAD": "x", "BLANK": " ", "F": "Yes", "OFF": "no", "S": " a "}
+    assert (setting("N", 1, env), setting("BLANK", 3, env), setting("MISSING", 4, env)) == (7, 3, 4)
+    assert setting("F", False, env) and not setting("OFF", True, env) and setting("BLANK", True, env)
+    assert (setting("S", "d", env), setting("BLANK", "d", env), setting("MISSING", "d", env)) == ("a", "", "d")
+    with pytest.raises(ValueError, match="BAD"):
+        setting("BAD", 1, env)
