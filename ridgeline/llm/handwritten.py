@@ -364,6 +364,35 @@ def _svm(x: np.ndarray, at: np.ndarray, y: np.ndarray, rounds: int = 200, c: flo
     return w[:-1], b
 
 
+#: Files whose sums a task holds at once.
+HELD = 256
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, at, n) with the rows of each file summed, as far as they come together."""
+    sums: dict[int, np.ndarray] = {}
+
+    def rows() -> pa.RecordBatch:
+        at = [np.flatnonzero(v).astype(np.int32) for v in sums.values()]
+        n = [v[a] for v, a in zip(sums.values(), at)]
+        kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((list(sums), at, n), kinds)], names=["file", "at", "n"])
+
+    for b in batches:
+        at, n = b.column("at"), b.column("n")
+        o, flat, values = at.offsets.to_numpy(), at.values.to_numpy(), n.values.to_numpy()
+        shift = n.offsets.to_numpy()[0] - o[0]
+        for i, f in enumerate(b.column("file").to_pylist()):
+            if f not in sums:
+                if len(sums) >= HELD:
+                    yield rows()
+                    sums.clear()
+                sums[f] = np.zeros(TEXT, np.float32)
+            sums[f][flat[o[i] : o[i + 1]]] += values[o[i] + shift : o[i + 1] + shift]  # a row has a place once
+    if sums:
+        yield rows()
+
+
 def fit(labelled: DataFrame, chunks: DataFrame, sample: int = SAMPLE) -> Classifiers | None:
     """Classifiers from at most `sample` files with and `sample` without a label, those of the smallest hash.
 
@@ -382,8 +411,9 @@ def fit(labelled: DataFrame, chunks: DataFrame, sample: int = SAMPLE) -> Classif
     label = {(r["project"], r["path"]): r["label"] for r in some}
     chosen = F.broadcast(spark.createDataFrame([(r["project"], r["path"], i) for i, r in enumerate(some)], "project string, path string, file int"))  # at most 2 x sample rows
     rows = _texts(chunks.join(chosen.drop("file"), ["project", "path"], "left_semi")).dropDuplicates(["project", "path", "ord", "chunk_id"]).mapInArrow(_describe(None), f"{_CHUNK}, at array<int>, n array<float>")
-    whole = rows.join(chosen, ["project", "path"]).select("file", F.explode(F.arrays_zip("at", "n")).alias("f")).groupBy("file", "f.at").agg(F.sum("f.n").alias("n"))
-    packed = whole.groupBy("file").agg(F.collect_list("at").alias("at"), F.collect_list(F.col("n").cast("float")).alias("n"))  # at most TEXT entries a file
+    # summed where the chunks are, then a row a file and task is left to be brought together
+    parts = rows.join(chosen, ["project", "path"]).select("file", "at", "n").mapInArrow(_combined, "file int, at array<int>, n array<float>")
+    packed = parts.groupBy("file").applyInArrow(lambda t: pa.Table.from_batches(list(_combined(t.combine_chunks().to_batches()))), "file int, at array<int>, n array<float>")
     x = np.zeros((len(label), TEXT), np.float32)
     for b in packed.toArrow().to_batches():
         at, v = b.column("at"), b.column("n")
