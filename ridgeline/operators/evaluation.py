@@ -14,35 +14,37 @@ from ridgeline.functions import fixed
 
 #: A position behind a line break of any kind.
 _BEHIND_BREAK = r"(?<=[\n\x0b\f\x1c-\x1e\x85\u2028\u2029])|(?<=\r)(?!\n)"
+_OTHER_BREAK = r"[\x0b\f\x1c-\x1e\x85\u2028\u2029]|\r(?!\n)"
 #: Where documentation stands, each a pattern of everything up to its end: in a source file a string
 #: at the start, a block comment anywhere in the head, or the comment lines at the start; in prose a
 #: heading, the blank lines under it, and the paragraph there.
 _MARK = r"(?:/{2,}|\#+|--)"
 _TITLE = r"\#{1,6}\s+\S"
-_STARTING_STRING = r"(?s)\A\s*[rub]?(\"{3}|'{3})(.*?)\1"
+_STARTING_STRING = r"(?sU)\A\s*[rub]?(\"{3}|'{3})(.*?)\1"
 _BLOCK = r"(?s)\A.*?/\*+(.*?)\*/"
-_COMMENT_LINES = rf"\A(?:[^\S\n]*\n)*((?:[^\S\n]*{_MARK}[^\n]*(?:\n|\z))+)"
-_TITLE_LINE = rf"\A(?:(?!{_TITLE})[^\n]*\n)*+\#{{1,6}}\s+(\S[^\n]*?)\s*\#*[^\S\n]*(?:\n|\z)"
-_PARAGRAPH = rf"\A((?:[^\S\n]*\n)*+)((?:(?!{_TITLE})[^\n]*\S[^\n]*(?:\n|\z))*+)"
+_COMMENT_LINES = rf"(?U)\A(?:[^\S\n]*\n)*((?:[^\S\n]*{_MARK}[^\n]*(?:\n|\z))+)"
+_TITLE_LINE = rf"(?U)\A(?:(?!{_TITLE})[^\n]*\n)*+\#{{1,6}}\s+(\S[^\n]*?)\s*\#*[^\S\n]*(?:\n|\z)"
+_PARAGRAPH = rf"(?U)\A((?:[^\S\n]*\n)*+)((?:(?!{_TITLE})[^\n]*\S[^\n]*(?:\n|\z))*+)"
 
 
 def documentation(text: Column, lang: Column) -> Column:
     """A struct (said, end) of the documentation that a text begins with: its words without mark-up, and
     the number of characters up to its end. Only the first lines are looked at. All in built-in functions."""
-    head = F.array_join(F.slice(F.split(F.coalesce(text, F.lit("")), _BEHIND_BREAK), 1, fixed.EVAL_HEAD_LINES), "")
+    lines = F.slice(F.split(F.coalesce(text, F.lit("")), _BEHIND_BREAK), 1, fixed.EVAL_HEAD_LINES)
+    head = F.regexp_replace(F.array_join(lines, ""), _OTHER_BREAK, "\n")  # of the same length
     part = lambda of, pattern, group: F.regexp_extract(of, pattern, group)
     block = lambda said, whole: F.struct(said.alias("raw"), F.length(whole).alias("end"))
-    lines = part(head, _COMMENT_LINES, 1)
+    comments = part(head, _COMMENT_LINES, 1)
     source = (
         F.when(head.rlike(_STARTING_STRING), block(part(head, _STARTING_STRING, 2), part(head, _STARTING_STRING, 0)))
         .when(head.rlike(_BLOCK), block(part(head, _BLOCK, 1), part(head, _BLOCK, 0)))
-        .otherwise(block(F.regexp_replace(lines, rf"(?m)^\s*{_MARK}\s?", ""), part(head, _COMMENT_LINES, 0)))
+        .otherwise(block(F.regexp_replace(comments, rf"(?mU)^\s*{_MARK}\s?", ""), part(head, _COMMENT_LINES, 0)))
     )
     title = part(head, _TITLE_LINE, 0)
     under = F.substring(head, F.length(title) + 1, F.length(head))
     prose = F.when(title != "", block(F.concat_ws(" ", part(head, _TITLE_LINE, 1), part(under, _PARAGRAPH, 2)), F.concat(title, part(under, _PARAGRAPH, 0)))).otherwise(block(F.lit(""), F.lit("")))
     found = F.when(lang.isin(list(fixed.DOC_LANGUAGES)), prose).otherwise(source)
-    said = F.trim(F.regexp_replace(F.regexp_replace(found["raw"], "|".join(fixed.EVAL_NOISE), " "), r"(?U)\s+", " "))
+    said = F.trim(F.regexp_replace(F.regexp_replace(found["raw"], "(?U)" + "|".join(fixed.EVAL_NOISE), " "), r"(?U)\s+", " "))
     return F.struct(said.alias("said"), found["end"].alias("end"))
 
 
