@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import fixed, text
-from ridgeline.session import broadcast_if_small, spread, staged
+from ridgeline.session import spread, staged
 
 
 def _fields(chunks: DataFrame) -> Column:
@@ -43,9 +43,15 @@ def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _bucket_numbers(spark: SparkSession, words: list[str]) -> list[int]:
-    rows = spark.createDataFrame([(w,) for w in words], "w string").select(bucket_of(F.col("w")).alias("b")).distinct()
-    return sorted(r["b"] for r in rows.collect())
+def bucket_numbers(spark: SparkSession, words: list[str]) -> list[int]:
+    """The buckets of some terms: by the same hash on the driver, or by a query where its library isn't there."""
+    try:
+        import xxhash
+    except ImportError:
+        rows = spark.createDataFrame([(w,) for w in words], "w string").select(bucket_of(F.col("w")).alias("b")).distinct()
+        return sorted(r["b"] for r in rows.collect())
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    return sorted({signed(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42)) % BUCKETS for w in words})
 
 
 def write_postings(lists: DataFrame, path: str, keys: tuple[str, ...] = ("project", "chunk_id")) -> None:
@@ -65,11 +71,11 @@ def write_index(chunks: DataFrame, path: str) -> None:
 
 def asked_terms(queries: DataFrame) -> tuple[DataFrame, list[str]]:
     """((qid, term), the distinct terms) of queries (qid, terms ARRAY<STRING>): a stated set, bounded by MAX_TERMS."""
-    asked = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
-    words = [r["term"] for r in asked.select("term").distinct().limit(MAX_TERMS + 1).collect()]
-    if len(words) > MAX_TERMS:
+    pairs = sorted({(r["qid"], t) for r in queries.select("qid", "terms").limit(MAX_TERMS + 1).collect() for t in r["terms"] or () if t is not None})
+    if len(pairs) > MAX_TERMS:
         raise ValueError(f"the queries ask for more than {MAX_TERMS} terms; ask in several searches")
-    return asked, sorted(words)
+    asked = queries.sparkSession.createDataFrame(pairs, "qid long, term string")
+    return asked, sorted({t for _, t in pairs})
 
 
 def _weighed(found: DataFrame, stats: DataFrame, asked: DataFrame) -> DataFrame:
@@ -80,14 +86,14 @@ def _weighed(found: DataFrame, stats: DataFrame, asked: DataFrame) -> DataFrame:
     k1, b = fixed.BM25_K1, fixed.BM25_B
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
     return (
-        found.join(weight, ["project", "term"]).join(broadcast_if_small(asked, MAX_TERMS), "term")
+        found.join(weight, ["project", "term"]).join(F.broadcast(asked), "term")  # at most MAX_TERMS rows
         .groupBy("qid", "project", "chunk_id").agg((-F.sum(part)).alias("score"))
     )
 
 
 def stored_postings(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
     """The postings of some terms: only their folders are listed, and the terms are pushed to the scan."""
-    return spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(_bucket_numbers(spark, words)) & F.col("term").isin(words)).drop("bucket")
+    return spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(bucket_numbers(spark, words)) & F.col("term").isin(words)).drop("bucket")
 
 
 def bm25_stored(spark: SparkSession, path: str, queries: DataFrame, projects: list[str] | None = None) -> DataFrame:

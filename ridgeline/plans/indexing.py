@@ -140,7 +140,7 @@ class Store:
         """(qid, project, chunk_id, score) by the stored postings; texts aren't read."""
         asked, words = lexical.asked_terms(queries)
         found = self._read("postings", "term string, project string, path string, chunk_id long, tf int, doc_len int, bucket int", self.commits())
-        found = self._live(found.where(F.col("bucket").isin(lexical._bucket_numbers(self.spark, words)) & F.col("term").isin(words)).drop("bucket"))
+        found = self._live(found.where(F.col("bucket").isin(lexical.bucket_numbers(self.spark, words)) & F.col("term").isin(words)).drop("bucket"))
         stats = self.log().groupBy("project").agg(F.sum("n_chunks").alias("n_docs"), (F.sum("n_terms") / F.sum("n_chunks")).alias("avgdl"))
         if projects is not None:
             found, stats = found.where(F.col("project").isin(projects)), stats.where(F.col("project").isin(projects))

@@ -3,6 +3,7 @@ import os
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from ridgeline.operators.registry import Registry
 from ridgeline.plans import indexing
@@ -115,6 +116,9 @@ def test_stored_postings_score_like_the_texts(spark, repo, tmp_path):
     by = lambda df: sorted((r.qid, r.chunk_id, round(r.score, 9)) for r in df.collect())
     assert by(s.bm25(q)) == by(lexical.bm25(s.chunks(), q)) != []
     assert s.bm25(q, ["/none"]).count() == 0
+    words = ["table", "é_日本", "", "x" * 500]
+    own = spark.createDataFrame([(w,) for w in words], "w string").select(lexical.bucket_of(F.col("w")).alias("b")).distinct()
+    assert lexical.bucket_numbers(spark, words) == sorted(r.b for r in own.collect())
     with pytest.raises(ValueError, match="terms"):
         lexical.asked_terms(spark.createDataFrame([(1, [str(i) for i in range(lexical.MAX_TERMS + 1)])], "qid long, terms array<string>"))
 
