@@ -5,7 +5,9 @@ is indexed). Each shard builds a hierarchical navigable small-world graph, kept
 arrays per layer, and answers the queries routed to it by batched beam search; the shards' results
 are merged. Equal vectors are one node, so a group of copies never fills a shard. Shards have a size
 bound, so the work of a vector doesn't grow with the table, but for the shards it asks. How many those
-are is measured on the sample: as many as hold the share `routing` of true neighbours.
+are is measured: as many as hold the share `routing` of true neighbours, those of the sample in a small
+table, in a large one those of the whole table. With a floor for the similarity only neighbours above it
+count, and a shard answers by block products, as all that is asked is which ones pass the floor.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ K = 10
 SAMPLE = 30_000
 #: Vectors of the sample that tell how far a query must go, and the share of true neighbours that its shards hold.
 CALIBRATION, ROUTING = 1_500, 0.97
+#: Shards a vector may ask on average before the whole table is read to tell how far a query must go.
+VISITS = 3
 #: Vectors that the shards a query asks hold at least, if there are as many.
 ENOUGH = 500
 #: Vectors of a shard on average, and shards at most.
@@ -37,6 +41,8 @@ CROWDED = 6
 LINKS, CANDIDATES, RATIO = 16, 24, 16
 #: Nodes of a beam whose links are followed at once.
 FAN = 3
+#: Rows that are routed at once.
+ROUTE_BLOCK = 1_024
 #: Queries of a block, and marks of nodes seen by a block (bytes), at most.
 QUERY_BLOCK, MARKS = 1_024, 1 << 26
 
@@ -60,13 +66,23 @@ def _digests(x: np.ndarray) -> list[bytes]:
     return [xxhash.xxh3_128_digest(row) for row in np.ascontiguousarray(x + np.float32(0))]
 
 
-def fit_centroids(vectors: DataFrame, shards: int, total: int, routing: float = ROUTING, k: int = K, sample: int = SAMPLE, rounds: int = 10) -> tuple[np.ndarray, np.ndarray, float]:
+def _homes(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row, in blocks."""
+    blocks = [(x[i : i + ROUTE_BLOCK] @ centroids.T).argmax(1) for i in range(0, len(x), ROUTE_BLOCK)]
+    return np.concatenate(blocks) if blocks else np.empty(0, np.int64)
+
+
+def fit_centroids(
+    vectors: DataFrame, shards: int, total: int, routing: float = ROUTING, k: int = K, sample: int = SAMPLE, rounds: int = 10, least: float = -1.0, mutual: bool = False
+) -> tuple[np.ndarray, np.ndarray, float]:
     """(centroids, share, margin) from at most `sample` rows of the smallest hash.
 
     Spherical k-means; `share` of the different vectors is nearest to each centroid. A query asks the
     shards whose centroid is at most `margin` less similar than its best one: the least margin by which
     CALIBRATION vectors reach the share `routing` of their k true neighbours within the sample. There
-    neighbours are farther apart than in the whole table, so the whole table's are reached rather more.
+    neighbours are farther apart than in the whole table, so the whole table's are reached rather more:
+    with many shards so much more that the shards asked grow with the table. Where they are more than
+    VISITS, `_reach` measures the margin on the whole table instead.
     """
     rows = lowest(vectors.select("id", "embedding").where("id is not null and embedding is not null"), F.xxhash64("id"), sample, total)
     table = rows.toArrow().combine_chunks()
@@ -83,12 +99,12 @@ def fit_centroids(vectors: DataFrame, shards: int, total: int, routing: float =
         pick = x[rng.choice(len(x), p=away / away.sum())]
         c, best = np.vstack([c, pick]), np.maximum(best, x @ pick)
     for _ in range(rounds):
-        home = (x @ c.T).argmax(1)
+        home = _homes(x, c)
         sums = np.zeros_like(c)
         np.add.at(sums, home, x)
         norm = np.sqrt((sums * sums).sum(1, keepdims=True))
         c = np.where(norm > 0, sums / np.maximum(norm, 1e-12), c).astype(np.float32)
-    home = (x @ c.T).argmax(1)
+    home = _homes(x, c)
     n, need = max(0, min(k, len(x) - 1)), np.empty((0, 0), np.float32)
     if n:
         blocks = []
@@ -101,9 +117,62 @@ def fit_centroids(vectors: DataFrame, shards: int, total: int, routing: float =
             blocks.append(near.max(1)[:, None] - np.take_along_axis(near, home[true], 1))
         need = np.concatenate(blocks)
     margin = float(np.quantile(need, routing)) if need.size else 0.0
+    if total > sample:
+        margin = _reach(vectors, c, margin, total, routing, k, least, mutual)
     return c, np.bincount(home, minlength=len(c)) / len(x), margin + 1e-6
 
 
+def _reach(vectors: DataFrame, centroids: np.ndarray, margin: float, total: int, routing: float, k: int, least: float, mutual: bool) -> float:
+    """The margin of a query: `margin`, the sample's, while CALIBRATION other vectors ask at most VISITS
+    shards by it on average. Beyond that the least one by which they reach the share `routing` of their k
+    nearest other vectors of the whole table, of those of a similarity of at least `least`; but no less
+    than what VISITS shards allow. With `mutual` a pair is reached if either of its vectors reaches the other."""
+    rows = lowest(vectors.select("id", "embedding").where("id is not null and embedding is not null"), F.xxhash64("id", F.lit("reach")), CALIBRATION, total)
+    batches = rows.toArrow().combine_chunks().to_batches()
+    q = np.unique(np.concatenate([_usable(b)[1] for b in batches]), axis=0) if batches else np.empty((0, DIMENSIONS), np.float32)
+    near = q @ centroids.T
+    best, home = near.max(1, initial=-2), near.argmax(1)
+    away = best[:, None] - near
+    if (away <= margin).sum() <= VISITS * len(q):
+        return margin
+    allowed = float(np.partition(away, VISITS * len(q) - 1, axis=None)[VISITS * len(q) - 1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sims, need = np.full((len(q), k), -2.0), np.zeros((len(q), k))
+        for b in batches:
+            _, x = _usable(b)
+            x = np.unique(x, axis=0)
+            for i in range(0, len(x), ROUTE_BLOCK):
+                block = x[i : i + ROUTE_BLOCK]
+                r, c, exact = _above(block, q, np.full(len(q), -1), k + 1, np.maximum(sims[:, -1], least))
+                other = (q[r] != block[c]).any(1)
+                r, c, exact = r[other], c[other], exact[other]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                first = place < k
+                r, c, place, exact = r[first], c[first], place[first], exact[first]
+                new_s, new_n = np.full(sims.shape, -2.0), np.zeros(sims.shape)
+                there = _homes(block[c], centroids)
+                gap = best[r] - np.einsum("nd,nd->n", q[r], centroids[there])
+                if mutual:
+                    back = np.einsum("nd,nd->n", block[c], centroids[there]) - np.einsum("nd,nd->n", block[c], centroids[home[r]])
+                    gap = np.minimum(gap, back)
+                new_s[r, place], new_n[r, place] = exact, gap
+                touched = np.unique(r)
+                all_s, all_n = np.concatenate([sims[touched], new_s[touched]], 1), np.concatenate([need[touched], new_n[touched]], 1)
+                order = np.argsort(-all_s, axis=1, kind="stable")
+                all_s, all_n = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_n, order, 1)
+                all_s[:, 1:][all_s[:, 1:] == all_s[:, :-1]] = -2  # equal vectors of several batches
+                order = np.argsort(-all_s, axis=1, kind="stable")[:, :k]
+                sims[touched], need[touched] = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_n, order, 1)
+        r, c = np.nonzero(sims > -2)
+        yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(-sims[r, c]), pa.array(need[r, c])], names=["q", "d", "need"])
+
+    # equal vectors have equal similarities, so the set holds them once; k rows a vector reach the driver
+    found = vectors.mapInArrow(run, "q long, d double, need double").groupBy("q").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "need"))), 1, k).alias("near"))
+    need = found.select(F.explode("near.need").alias("need")).toArrow().column("need").to_numpy()
+    return min(margin, max(allowed, float(np.quantile(need, routing)) if len(need) else 0.0))
+
+
 def _route(centroids: np.ndarray, margin: float, sizes: np.ndarray, parts: dict[int, int], every: int | None):
     """Rows (shard, home, digest, vector) for the index and the queries; equal vectors of a batch once."""
 
@@ -118,32 +187,34 @@ def _route(centroids: np.ndarray, margin: float, sizes: np.ndarray, parts: dict[
                 ids = b.column("id").to_numpy()[rows]
                 wanted = {digests[i] for i in np.flatnonzero(ids % every == 0)}
                 asks = np.fromiter((d in wanted for d in digests), bool, len(digests))
-            sims = x[keep] @ centroids.T
-            home = sims.argmax(1)
-            near = sims >= sims.max(1, keepdims=True) - margin
-            lonely = np.flatnonzero((near * sizes).sum(1) < ENOUGH)
-            if len(lonely):  # small shards: on to the next ones until they hold enough vectors
-                order = np.argsort(-sims[lonely], axis=1)
-                held = np.cumsum(sizes[order], axis=1) - sizes[order]
-                more = np.zeros((len(lonely), sims.shape[1]), bool)
-                np.put_along_axis(more, order, held < ENOUGH, 1)
-                near[lonely] |= more
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for r, i in enumerate(keep):
-                d, v, h = digests[i], x[i].tobytes(), int(home[r])
-                own = int.from_bytes(d[:4], "little") % parts.get(h, 1)
-                visits = {(h, own): 1 + 2 * bool(asks[i])}  # 1: indexed here, 2: asked here
-                if asks[i]:
-                    for s in np.flatnonzero(near[r]).tolist():
-                        for p in range(parts.get(s, 1)):
-                            visits[s, p] = visits.get((s, p), 0) | 2
-                for (s, p), role in visits.items():
-                    out[0].append(s << 32 | p)
-                    out[1].append(role)
-                    out[2].append(d)
-                    out[3].append(v)
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["shard", "role", "digest", "vector"])
+            for at in range(0, len(keep), ROUTE_BLOCK):
+                block = keep[at : at + ROUTE_BLOCK]
+                sims = x[block] @ centroids.T
+                home = sims.argmax(1)
+                near = sims >= sims.max(1, keepdims=True) - margin
+                lonely = np.flatnonzero(near @ sizes < ENOUGH)
+                if len(lonely):  # small shards: on to the next ones until they hold enough vectors
+                    order = np.argsort(-sims[lonely], axis=1)
+                    held = np.cumsum(sizes[order], axis=1) - sizes[order]
+                    more = np.zeros((len(lonely), sims.shape[1]), bool)
+                    np.put_along_axis(more, order, held < ENOUGH, 1)
+                    near[lonely] |= more
+                out: tuple[list, list, list, list] = ([], [], [], [])
+                for r, i in enumerate(block):
+                    d, v, h = digests[i], x[i].tobytes(), int(home[r])
+                    own = int.from_bytes(d[:4], "little") % parts.get(h, 1)
+                    visits = {(h, own): 1 + 2 * bool(asks[i])}  # 1: indexed here, 2: asked here
+                    if asks[i]:
+                        for s in np.flatnonzero(near[r]).tolist():
+                            for p in range(parts.get(s, 1)):
+                                visits[s, p] = visits.get((s, p), 0) | 2
+                    for (s, p), role in visits.items():
+                        out[0].append(s << 32 | p)
+                        out[1].append(role)
+                        out[2].append(d)
+                        out[3].append(v)
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["shard", "role", "digest", "vector"])
 
     return run
 
@@ -278,6 +349,38 @@ class Graph:
         return np.take_along_axis(beam, order, 1), np.take_along_axis(sims, order, 1)
 
 
+def _above(x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(queries, rows of x, similarities) of the pairs of at least the query's similarity in `least`, in
+    blocks: the k best of each query, best first, and those as near as the last of them, as far as CANDIDATES reaches.
+
+    `own`: the row of x that is the query itself, -1 without one; it isn't among its results.
+    """
+    n = max(k + 2, CANDIDATES)
+    pairs = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    step = min(2048, max(64, (1 << 22) // max(len(x), 1)))
+    for i in range(0, len(q), step):
+        s = q[i : i + step] @ x.T
+        itself = np.flatnonzero(own[i : i + step] >= 0)
+        s[itself, own[i : i + step][itself]] = -2
+        hit = s >= least[i : i + step, None] - 1e-4
+        r, c = np.nonzero(hit)
+        many = np.flatnonzero(np.bincount(r, minlength=len(s)) > n)
+        if len(many):
+            top = np.argpartition(-s[many], n - 1, axis=1)[:, :n]
+            hit[many] = False
+            hit[many[:, None], top] = True
+            r, c = np.nonzero(hit)
+        pairs.append((r + i, c))
+    r, c = (np.concatenate(p) for p in zip(*pairs))
+    exact = np.einsum("nd,nd->n", q[r].astype(np.float64), x[c].astype(np.float64))
+    order = np.lexsort((-exact, r))
+    order = order[exact[order] >= least[r[order]]]
+    r, c, exact = r[order], c[order], exact[order]
+    last = np.minimum(np.searchsorted(r, r) + k, np.searchsorted(r, r, "right")) - 1
+    best = exact >= exact[last]
+    return r[best], c[best], exact[best]
+
+
 def _search(k: int, width: int, least: float):
     def run(group: pa.Table) -> pa.Table:
         digests, roles = group.column("digest").to_pylist(), group.column("role").to_numpy()
@@ -293,10 +396,15 @@ def _search(k: int, width: int, least: float):
         if not len(index) or not len(queries):
             return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary()), "sim": pa.array([], pa.float64())})
         at = {digests[i]: n for n, i in enumerate(index)}
-        found, sims = Graph(x[index]).search(x[queries], k, width, np.fromiter((at.get(digests[i], -1) for i in queries), np.int64, len(queries)))
-        row, col = np.nonzero((found >= 0) & (sims >= least - 1e-4))
-        i, j = queries[row], index[found[row, col]]
-        exact = np.einsum("nd,nd->n", x[i].astype(np.float64), x[j].astype(np.float64))
+        own = np.fromiter((at.get(digests[i], -1) for i in queries), np.int64, len(queries))
+        if least > -1:
+            row, col, exact = _above(x[index], x[queries], own, k, np.full(len(queries), least))
+            i, j = queries[row], index[col]
+        else:
+            found, _ = Graph(x[index]).search(x[queries], k, width, own)
+            row, col = np.nonzero(found >= 0)
+            i, j = queries[row], index[found[row, col]]
+            exact = np.einsum("nd,nd->n", x[i].astype(np.float64), x[j].astype(np.float64))
         keep = [p for p in np.flatnonzero(exact >= least) if digests[i[p]] != digests[j[p]]]
         return pa.table({"a": pa.array([digests[i[p]] for p in keep], pa.binary()), "b": pa.array([digests[j[p]] for p in keep], pa.binary()), "sim": pa.array(exact[keep])})
 
@@ -316,9 +424,10 @@ def nearest(
     """(id, neighbour, similarity): for each row of `vectors` (id BIGINT, embedding ARRAY) the k most
     similar rows with another id, of those with a cosine similarity of at least `least`.
 
-    Approximate: a query asks its own shard, whose answer is exact, and by a beam of `width` the others
-    that are needed for the share `routing` of true neighbours (1: as many as any of the calibration
-    needs). With `every`, only the ids divisible by it ask; all rows are indexed. Ties go to the
+    Approximate: a query asks its own shard, whose answer is exact, and the others that are needed for
+    the share `routing` of true neighbours (1: as many as any of the calibration needs): by a beam of
+    `width`, or with a floor `least` above -1 by block products, which are exact too. Where all rows ask
+    with a floor, a pair that one of its vectors finds counts for both. With `every`, only the ids divisible by it ask; all rows are indexed. Ties go to the
     smaller id.
 
     NULL, too short or long, all-zero, NaN-bearing and infinite vectors and NULL ids take no part;
@@ -329,16 +438,23 @@ def nearest(
     members = vectors.mapInArrow(_members, "id long, digest binary").distinct()
     total = vectors.count()
     shards = max(1, min(MAX_SHARDS, math.ceil(total / shard)))
-    centroids, share, margin = fit_centroids(vectors, shards, total, routing, k, sample)
+    mutual = least > -1 and not every
+    centroids, share, margin = fit_centroids(vectors, shards, total, routing, k, sample, least=least, mutual=mutual)
     # at most MAX_SHARDS numbers; the sample tells which shards are crowded
     parts = {i: math.ceil(n / (CROWDED * shard)) for i, n in enumerate(share * total) if n > CROWDED * shard}
     routed = vectors.mapInArrow(_route(centroids, margin, share * total, parts, every), f"shard long, role int, {_VECTOR}")
     # a task's share stays the same as the table grows: a few shards each
     tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(centroids) + sum(parts.values()))
     links = routed.repartition(tasks, "shard").groupBy("shard").applyInArrow(_search(k, max(width, k + 2), least), "a binary, b binary, sim double")
+    if mutual:
+        ways = F.array(F.struct("a", "b", "sim"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+        links = links.select(F.inline(ways)).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)))
+        # a vector that very many found is cut to its best in each of many tasks before it meets in one
+        some = links.groupBy("a", "salt").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("sim")).alias("d"), "b"))), 1, 2 * k).alias("near"))
+        links = some.select("a", F.explode("near").alias("n")).select("a", F.col("n.b").alias("b"), (-F.col("n.d")).alias("sim"))
     # the k smallest other ids of a vector are all of it that any list can hold
     heads = _heads(members, k)
-    best = links.groupBy("a").agg(F.collect_set(F.struct((-F.col("sim")).alias("d"), "b")).alias("near"))  # at most (k + 1) x shards visited
+    best = links.groupBy("a").agg(F.collect_set(F.struct((-F.col("sim")).alias("d"), "b")).alias("near"))  # at most 2 k x shards visited, or x salts
     near = best.select("a", F.explode(F.slice(F.array_sort("near"), 1, 2 * k)).alias("n")).select("a", F.col("n.b").alias("b"), F.col("n.d").alias("d"))
     others = near.join(heads.withColumnRenamed("digest", "b"), "b").select("a", "d", "ids")
     lists = (

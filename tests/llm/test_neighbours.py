@@ -73,3 +73,45 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert got.keys() == {100 + i for i in range(30)} and all(sorted(v) == [j for j in range(100, 111) if j != k][:10] for k, v in got.items())
     assert nb.nearest(df.limit(0)).count() == 0
     assert nb.nearest(df.where("id = 1")).count() == 0
+
+
+def test_shards_asked_do_not_grow_with_the_table(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((6000, 64)) + np.repeat(rng.standard_normal((10, 64)), 600, axis=0)
+    x[3000:3400] = x[:400] + rng.standard_normal((400, 64)) * 0.25  # near copies
+    df = frame(spark, x).repartition(4).cache()
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    near = {(i, j) for i in range(len(x)) for j in np.argsort(-s[i])[:10] if s[i, j] >= 0.9}
+
+    def asked(**floor):
+        c, _, margin = nb.fit_centroids(df, 200, 6000, sample=600, **floor)
+        sims = u @ c.T
+        return (sims >= sims.max(1, keepdims=True) - margin).sum(1).mean(), sims, margin, c
+
+    few, sims, margin, c = asked(least=0.9, mutual=True)
+    assert few <= 1.2 * nb.VISITS and len(near) > 500
+    many, sims, margin, c = asked()  # all ten neighbours: as far as those of the whole table need
+    assert few < many
+    home, true = (u @ c.T).argmax(1), np.argsort(-s, axis=1)[:, :10]
+    need = sims.max(1, keepdims=True) - np.take_along_axis(sims, home[true], 1)
+    assert abs((need <= margin).mean() - nb.ROUTING) < 0.01
+    got = {(r.id, r.neighbour) for r in nb.nearest(df, 10, 0.9, shard=30, sample=600).collect()}
+    assert got <= near and len(got) >= 0.99 * len(near)
+
+
+def test_pairs_above_a_floor_are_exact():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 64)).astype(np.float32)
+    x[100:160] = x[0] + rng.standard_normal((60, 64)).astype(np.float32) * 0.1  # more than CANDIDATES above the floor
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = np.r_[np.arange(200), np.full(20, -1)]
+    q = np.vstack([x[:200], x[280:]])
+    row, col, sim = nb._above(x, q, own, 10, np.full(len(q), 0.9))
+    s = q.astype(float) @ x.T.astype(float)
+    s[np.arange(200), np.arange(200)] = -2
+    want = {(i, j) for i in range(len(q)) for j in np.argsort(-s[i])[:10] if s[i, j] >= 0.9}
+    assert set(zip(row.tolist(), col.tolist())) == want and np.allclose(sim, s[row, col]) and len(want) > 600
+    assert not len(nb._above(x, q[:0], own[:0], 10, np.empty(0))[0])
