@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from ridgeline.session import spread
 
-# Letters of Greek and Cyrillic whose usual shape is that of a Latin letter, in pairs; used
-# where the Unicode confusables data can't be had, and before them (they lack a few of these).
+# Letters of Greek and Cyrillic whose usual shape is that of a Latin letter, in pairs; they
+# come before the Unicode confusables data, which lack a few of them.
 LOOK_ALIKE = {
     # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
@@ -74,15 +74,18 @@ def confusables(spark: SparkSession) -> dict[str, str]:
     that Spark brings along (its version is that of `unicode_version`), for letters of all other scripts.
 
     The data has one prototype for each class of characters that look alike; the letter is the class's
-    ASCII letter of the same case. LOOK_ALIKE comes before it, and is all there is without the library.
+    ASCII letter of the same case. LOOK_ALIKE comes before it. Without the library it is an error, as
+    LOOK_ALIKE alone has far fewer letters.
     """
     try:
         checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
-    except Exception:  # noqa: BLE001
-        return dict(LOOK_ALIKE)
+    except Exception as e:
+        raise RuntimeError("the confusables data can't be had: the ICU library of Spark (com.ibm.icu) is missing or broken") from e
     ascii_letters = [chr(c) for c in (*range(65, 91), *range(97, 123))]
     asked = ascii_letters + _candidates()
     shapes = checker.getSkeleton("\n".join(asked)).split("\n")  # one call for all
+    if len(shapes) != len(asked):
+        raise RuntimeError(f"the ICU library gave {len(shapes)} shapes for {len(asked)} letters")
     of: dict[str, dict[bool, str]] = {}
     for c, shape in zip(ascii_letters, shapes):
         of.setdefault(shape, {})[c.isupper()] = c

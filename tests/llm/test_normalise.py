@@ -1,6 +1,7 @@
 import pickle
 import random
 import unicodedata
+from unittest.mock import Mock
 
 import pytest
 from hypothesis import given, settings
@@ -60,6 +61,16 @@ def test_the_public_table(spark):
         assert forms.canonical(f"{w} жук λξ".upper()) == forms.canonical(f"{w} жук λξ".lower())
 
 
+@pytest.mark.parametrize("builder", [Mock(side_effect=TypeError("'JavaPackage' object is not callable")), Mock(**{"return_value.build.return_value.getSkeleton.return_value": "A\nB"})])
+def test_a_missing_or_broken_table_is_an_error(spark, builder):
+    broken = Mock(**{"_jvm.com.ibm.icu.text.SpoofChecker.Builder": builder})
+    with pytest.raises(RuntimeError, match="ICU library"):
+        confusables(broken)
+    for query in (look_alikes, look_alike_classes, normalise_texts):
+        with pytest.raises(RuntimeError, match="ICU library"):
+            query(Mock(sparkSession=broken, **{"withColumn.return_value.schema": None}))
+
+
 def test_pairs_equal_brute_force(spark):
     random.seed(1)
     base = ["plain text one", "PLAIN text one", "café au lait", "naïve ﬁle", "", "   ", "日本 語"]
